@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, narrow, saved
+from ._common import documents, narrow, quoted
 from .substring_dedup import _slices
 
 BUCKETS = 1 << 14
@@ -171,39 +171,46 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], steps: int = 30
     return w, float(bias)
 
 
-def quality_classifier(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    sample_rows: int = 8000,
-    least: float = 0.5,
-) -> DataFrame:
-    """One row per input row: doc_id, weak_score (posterior of its votes), score, kept.
+def _code(m: dict[str, float]) -> int:
+    return int("".join(map(str, votes(m))), 3)
 
-    A row is kept if the scorer gives it at least ``least``. The scorer is fitted on at most
-    ``sample_rows`` rows, chosen by a hash of the text. Null and empty texts, and texts of
-    white space, have no words: each labeller votes bad and the row is rejected with score 0.
-    Null ids and repeated rows are judged like any other. An empty table gives an empty
-    result; other columns are ignored.
-    """
+
+class QualityModel:
+    """Posterior of each vote pattern, and the weights of the scorer."""
+
+    def __init__(self, posterior: dict[int, float], weights: np.ndarray, bias: float):
+        self.posterior, self.weights, self.bias = posterior, weights, bias
+
+    def judge(self, text: str) -> tuple[float, float]:
+        """Posterior of the votes for a text (0 for a pattern never seen), and its score."""
+        words, m = measure(text)
+        weak = self.posterior.get(_code(m), 0.0)
+        if not words:
+            return weak, 0.0
+        i, v = features(words, m)
+        return weak, float(1 / (1 + np.exp(-np.clip(self.weights[i] @ v + self.bias, -30, 30))))
+
+
+def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000) -> QualityModel:
+    """Estimate the labellers on all documents, and fit the scorer on at most ``sample_rows`` of them."""
     source = narrow(docs, id_col, text_col)
     spread = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in _slices(batch, "text"):
-                codes = [int("".join(map(str, votes(measure(t)[1]))), 3) for t in cut.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([cut.column("spread"), pa.array(codes, pa.int32())], ["spread", "pattern"])
+                codes = Counter(_code(measure(t)[1]) for t in cut.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(codes.keys(), pa.int32()), pa.array(codes.values(), pa.int64())], ["pattern", "n"])
 
-    voted = saved(source.select("text", spread.alias("spread")).mapInArrow(vote, "spread long, pattern int"))
-    counted = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = source.select("text").mapInArrow(vote, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    if not counted:
+        return QualityModel({}, np.zeros(BUCKETS), 5.0)
     codes = np.array([r["pattern"] for r in counted], dtype=np.int64)
-    patterns = np.stack([codes // 3**k % 3 for k in range(N_LABELLERS - 1, -1, -1)], axis=1) if len(codes) else np.zeros((0, N_LABELLERS), np.int64)
+    patterns = np.stack([codes // 3**k % 3 for k in range(N_LABELLERS - 1, -1, -1)], axis=1)
     counts = np.array([r["n"] for r in counted], dtype=np.float64)
-    post, _ = expectation_maximisation(patterns, counts) if len(codes) else (np.zeros(0), None)
-    posterior = dict(zip(codes.tolist(), post.tolist(), strict=True))
+    posterior = dict(zip(codes.tolist(), expectation_maximisation(patterns, counts)[0].tolist(), strict=True))
     total = counts.sum()
-    below = int((1 << 30) * min(1.0, 0.9 * sample_rows / total)) if total > sample_rows else 1 << 30
+    below = int((1 << 30) * 0.9 * sample_rows / total) if total > sample_rows else 1 << 30
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,30 +220,60 @@ def quality_classifier(
                 i, v = features(words, m)
                 ids.append(i.astype(np.int32))
                 values.append(v)
-                labels.append(posterior[int("".join(map(str, votes(m))), 3)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(labels, pa.float64())], ["ids", "vals", "label"]
-            )
+                labels.append(posterior[_code(m)])
+            arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(labels, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["ids", "vals", "label"])
+
+    taken = source.where(spread < below).select("text").mapInArrow(sample, "ids array<int>, vals array<double>, label double")
+    rows = sorted((r["ids"], r["vals"], r["label"]) for r in taken.limit(sample_rows).collect())
+    return QualityModel(posterior, *fit_scorer([(np.array(i, dtype=np.int64), np.array(v), y) for i, v, y in rows]))
+
 
-    taken = source.where(spread < below).select("text").mapInArrow(sample, "ids array<int>, vals array<double>, label double").limit(sample_rows)
-    rows = sorted((r["ids"], r["vals"], r["label"]) for r in taken.collect())
-    weights, bias = fit_scorer([(np.array(i, dtype=np.int64), np.array(v), y) for i, v, y in rows])
-    model = docs.sparkSession.sparkContext.broadcast((weights, bias, posterior))  # BUCKETS numbers and 3^8 patterns at most
+def quality_classifier(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sample_rows: int = 8000,
+    least: float = 0.5,
+    model: QualityModel | None = None,
+) -> DataFrame:
+    """One row per input row: doc_id, weak_score (posterior of its votes), score, kept.
+
+    A row is kept if the scorer gives it at least ``least``. Without a ``model`` one is fitted on
+    the documents; the scorer's sample is chosen by a hash of the text. Null and empty texts,
+    and texts of white space, have no words: each labeller votes bad and the row is rejected with
+    score 0. Null ids and repeated rows are judged like any other. An empty table gives an
+    empty result; other columns are ignored.
+    """
+    model = model or fit_quality(docs, id_col, text_col, sample_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights and 3^8 patterns at most
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, posterior = model.value
+        tool = shared.value
         for batch in batches:
             for cut in _slices(batch, "text"):
-                weak, scores = [], []
-                for text in cut.column("text").to_pylist():
-                    words, m = measure(text)
-                    weak.append(posterior.get(int("".join(map(str, votes(m))), 3), 0.0))
-                    i, v = features(words, m)
-                    scores.append(float(1 / (1 + np.exp(-np.clip(weights[i] @ v + bias, -30, 30)))) if words else 0.0)
+                judged = [tool.judge(t) for t in cut.column("text").to_pylist()]
+                weak, scores = [x[0] for x in judged], [x[1] for x in judged]
                 arrays = [cut.column("doc_id"), pa.array(weak, pa.float64()), pa.array(scores, pa.float64()), pa.array([s >= least for s in scores], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "weak_score", "score", "kept"])
 
-    return source.mapInArrow(judge, "doc_id long, weak_score double, score double, kept boolean")
+    return narrow(docs, id_col, text_col).mapInArrow(judge, "doc_id long, weak_score double, score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", sample_rows: int = 8000, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that quality_classifier keeps, with all their columns and no shuffle."""
+    texts = docs.select(F.lit(0).alias("doc_id"), quoted(text_col).alias("text"))
+    model = fit_quality(texts, "doc_id", "text", sample_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = shared.value
+        for batch in batches:
+            kept = [tool.judge(t or "")[1] >= least for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

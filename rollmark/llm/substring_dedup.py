@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_CLASS, documents, narrow, saved
+from ._common import WORD_CLASS, documents, narrow, quoted, saved, ship, text_or_empty
 
 WORD = re.compile(WORD_CLASS)
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -214,6 +214,31 @@ def covered(n: int, spans: list[dict] | None, window: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
+def find_spans(source: DataFrame, window: int) -> DataFrame:
+    """doc_id, text_hash and the repeated windows (first, runs) of each row that has any."""
+    if window < 4 or window % 2:
+        raise ValueError("window must be even and at least 4")
+    runs = repeated_windows(source, window)
+    open_windows = _windows(source, runs.where("NOT settled").select("doc_id", "text_hash", "first", "runs", "anchor"), window)
+    lowest = open_windows.groupBy("anchor", "content").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest")
+    late = open_windows.join(lowest, ["anchor", "content"]).where("doc_id > lowest")
+    return (
+        late.select("doc_id", "text_hash", "first", F.lit(1).cast("short").alias("runs"))
+        .unionByName(runs.where("settled").select("doc_id", "text_hash", "first", "runs"))
+        .groupBy("doc_id", "text_hash")
+        .agg(F.collect_list(F.struct("first", "runs")).alias("spans"))
+    )
+
+
+def _kept_words(text: str, spans: list[dict] | None, window: int) -> tuple[list[str], list[str]]:
+    """All words of a text, and those that no span covers."""
+    words = WORD.findall(text)
+    if not spans:
+        return words, words
+    gone = covered(len(words), spans, window).tolist()
+    return words, [w for w, g in zip(words, gone, strict=True) if not g]
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, with_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256; ``with_text`` adds kept_text.
 
@@ -225,38 +250,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing. Rows that share an id count as one document for the comparison, and each is
     cleaned by itself. An empty table gives an empty result; other columns are ignored.
     """
-    if window < 4 or window % 2:
-        raise ValueError("window must be even and at least 4")
     source = narrow(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    # the same filtered table on one side of both joins below: Spark shuffles the texts once
+    # the same filtered table is one side of both joins with texts: Spark shuffles the texts once
     known = source.where("doc_id IS NOT NULL")
-    runs = repeated_windows(known, window)
-    open_windows = _windows(known, runs.where("NOT settled").select("doc_id", "text_hash", "first", "runs", "anchor"), window)
-    lowest = open_windows.groupBy("anchor", "content").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest")
-    late = open_windows.join(lowest, ["anchor", "content"]).where("doc_id > lowest")
-    spans = (
-        late.select("doc_id", "text_hash", "first", F.lit(1).cast("short").alias("runs"))
-        .unionByName(runs.where("settled").select("doc_id", "text_hash", "first", "runs"))
-        .groupBy("doc_id", "text_hash")
-        .agg(F.collect_list(F.struct("first", "runs")).alias("spans"))
-    )
-    joined = known.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans")
+    joined = known.join(find_spans(known, window), ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans")
     nameless = source.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in _slices(batch, "text"):
                 total, removed, digests, texts = [], [], [], []
-                for text, found in zip(cut.column("text").to_pylist(), cut.column("spans").to_pylist(), strict=True):
-                    words = WORD.findall(text)
+                for text, spans in zip(cut.column("text").to_pylist(), cut.column("spans").to_pylist(), strict=True):
+                    words, left = _kept_words(text, spans, window)
                     total.append(len(words))
-                    if found:
-                        gone = covered(len(words), found, window)
-                        removed.append(int(gone.sum()))
-                        words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    else:
-                        removed.append(0)
-                    kept = " ".join(words)
+                    removed.append(len(words) - len(left))
+                    kept = " ".join(left)
                     digests.append(hashlib.sha256(kept.encode()).hexdigest())
                     if with_text:
                         texts.append(kept)
@@ -271,6 +279,33 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.mapInArrow(clean, schema).unionByName(nameless.mapInArrow(clean, schema))
 
 
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+    """All rows and columns of ``docs``, the text without the words that substring_dedup removes.
+    Texts that lose nothing stay as they are; of others the words left are joined by one space."""
+    ship(docs.sparkSession)
+    columns = docs.columns
+    own_id, own_text = quoted(id_col).cast("long"), text_or_empty(quoted(text_col))
+    keyed = docs.withColumns({"_cut_id": own_id, "_cut_hash": F.xxhash64(own_text)})
+    known = keyed.where("_cut_id IS NOT NULL")
+    spans = find_spans(known.select(F.col("_cut_id").alias("doc_id"), own_text.alias("text"), F.col("_cut_hash").alias("text_hash")), window)
+    spans = spans.select(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"), F.col("spans").alias("_cut_spans"))
+    joined = known.join(spans, ["_cut_id", "_cut_hash"], "left").select(*[quoted(c) for c in columns], "_cut_spans")
+    place = columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, found in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
+                if found:
+                    words, left = _kept_words(text, found, window)
+                    text = " ".join(left) if len(left) < len(words) else text
+                texts.append(text)
+            arrays = [pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    return joined.mapInArrow(clean, docs.schema).unionByName(docs.where(own_id.isNull()))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
