@@ -1,14 +1,76 @@
-"""Corpus cleaning as a chain of stages over ``documents``."""
+"""Corpus cleaning as a chain of stages over ``documents``.
+
+Each stage works on all rows that the one before it kept, and is written and read again as
+Parquet in between. All stages but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rollmark.llm import _common, exact_dedup, near_dedup, packing, quality_classifier, substring_dedup
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the weak-label classifier keeps."""
+    return quality_classifier.keep_good(docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts. Of rows repeated with one id and text one stays."""
+    found = exact_dedup.exact_dedup(docs)
+    kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    sha = F.sha2(exact_dedup.normalised(F.col("text")), 256)
+    keyed = docs.withColumn("_sha", sha)
+    out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_sha") == F.col("kept_sha")), "left_semi")
+    repeats = found.where("doc_id IS NULL OR doc_id = keep_id").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    if repeats.limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(F.char_length("text").desc()))
+        out = out.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return out.drop("_sha")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near-duplicates: that of the smallest id."""
+    kept = near_dedup.near_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the words of passages that start in an earlier row; n_chars follows the text.
+    A text from which nothing is removed stays as it is."""
+    columns = docs.columns
+    cleaned = substring_dedup.cut_repeats(docs)
+    return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*columns) if "n_chars" in columns else cleaned
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all texts in sequences of 2048 tokens."""
+    return packing.pack_documents(docs)
+
 
-from rollmark.llm import exact_dedup  # noqa: F401
+STAGES = [
+    ("quality classifier", drop_low_quality),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("substring dedup", cut_repeated_passages),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: The classifier is fitted by iteration, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``, each but the last written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{_common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
