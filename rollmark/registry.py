@@ -1,6 +1,12 @@
-"""Queries of the record-resolution operators, and their SQL."""
+"""All queries of the record-resolution operators, and their SQL."""
 
 from __future__ import annotations
 
+from .queries import structure, text
+
+MODULES = (structure, text)
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
