@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize_ids(frame: DataFrame, old: str = "primary_id", new: str = "soldier_id") -> DataFrame:
     return frame if new in frame.columns else frame.withColumnRenamed(old, new)
 

@@ -16,8 +16,10 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import token_estimate
+from ..session import ship_package
 
 
 class Annotator(Protocol):
@@ -61,7 +63,8 @@ def mock_annotator(prompts: list[str]) -> list[str]:
 
 def annotate(frame: DataFrame, prompt_col: str, annotator: Annotator, batch: int = 32) -> DataFrame:
     """Add answer and error (null where the call went well)."""
-    schema = frame.schema.add("answer", "string").add("error", "string")
+    ship_package(frame.sparkSession)
+    schema = StructType([*frame.schema.fields]).add("answer", "string").add("error", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.relational import let
 from ..functions.text import hash_unit, home_unit_key, post_path
 
 #: Shares of choices (fixed values).
@@ -41,7 +43,7 @@ def pick_weighted(draw: Column, options) -> Column:
 
 def pick(draw: Column, options: Column) -> Column:
     """One element of an array, each as likely."""
-    return F.element_at(options, F.least(F.floor(draw * F.size(options)).cast("int") + 1, F.size(options)))
+    return let(options, lambda x: F.element_at(x, F.least(F.floor(draw * F.size(x)).cast("int") + 1, F.size(x))))
 
 
 def branch_table(dims: DataFrame) -> DataFrame:
@@ -99,13 +101,13 @@ def states(people: DataFrame, dims: DataFrame, seed: int = 42) -> DataFrame:
             .when(F.col("transfer").isin("within_level3", "within_level2"), 2)
             .otherwise(1)
         )
-        moved = moved.withColumn("keep", keep)
+        moved = moved.withColumns({"keep": keep, "next_order": F.lit(order)})
 
-        def value(x: Column, i: Column, order: int = order) -> Column:
+        def value(x: Column, i: Column) -> Column:
             options = F.element_at("level_values", x)
             before = F.element_at("post_levels", x)
             other = F.array_remove(options, F.coalesce(before, F.lit("")))
-            return F.when(i < F.col("keep"), before).otherwise(pick(hash_unit(seed, F.lit("move"), key, F.lit(order), x), F.when(F.size(other) > 0, other).otherwise(options)))
+            return F.when(i < F.col("keep"), before).otherwise(pick(hash_unit(seed, F.lit("move"), key, F.col("next_order"), x), F.when(F.size(other) > 0, other).otherwise(options)))
 
         moved = moved.withColumn("post_levels", F.map_from_arrays("levels", F.transform("levels", value)))
         last = moved.select("soldier_id", "name", "rank", "n_states", F.lit(order).alias("state_order"), "transfer", "branch", "levels", "post_levels")
@@ -201,23 +203,44 @@ def imperfect(text: Column, tier: Column, seed: int, *keys: Column) -> Column:
     """Cut off, mistyped, corrected, shortened or run together, each by chance; good sources less."""
     scale = F.lit(0.4) + 0.4 * (tier - 1)
     hit = lambda name: hash_unit(seed, F.lit(name), *keys) < F.lit(IMPERFECTIONS[name]) * scale
+    draw = lambda name: hash_unit(seed, F.lit(name), *keys)
     size = F.char_length
-    place = lambda name, t: F.floor(hash_unit(seed, F.lit(name + "_at"), *keys) * size(t)).cast("int") + 1
-    cut = F.when(hit("trailing_off") & (size(text) > 4), F.left(text, F.greatest(F.lit(2), (size(text) * (0.5 + 0.5 * hash_unit(seed, F.lit("cut"), *keys))).cast("int")))).otherwise(text)
-    kind = F.floor(hash_unit(seed, F.lit("typo_kind"), *keys) * 4)
-    at = place("typo", cut)
-    omit = F.concat(F.substring(cut, F.lit(1), at - 1), F.substring(cut, at + 1, size(cut)))
-    double = F.concat(F.substring(cut, F.lit(1), at), F.substring(cut, at, size(cut)))
-    swap = F.concat(F.substring(cut, F.lit(1), at - 1), F.substring(cut, at + 1, F.lit(1)), F.substring(cut, at, F.lit(1)), F.substring(cut, at + 2, size(cut)))
-    ocr = cut
-    for a, b in reversed(OCR):
-        place_of = F.instr(cut, a)
-        ocr = F.when(place_of > 0, F.concat(F.substring(cut, F.lit(1), place_of - 1), F.lit(b), F.substring(cut, place_of + len(a), size(cut)))).otherwise(ocr)
-    typed = F.when(hit("typo") & (size(cut) > 2), F.when(kind == 0, omit).when(kind == 1, double).when(kind == 2, swap).otherwise(ocr)).otherwise(cut)
-    digit = F.regexp_extract(typed, "([0-9])", 1)
-    corrected = F.when(hit("correction") & (digit != ""), F.regexp_replace(typed, F.concat(F.lit("^([^0-9]*)"), digit), F.concat(F.lit("$1"), digit, F.lit(" "), F.pmod(digit.cast("int") + 1, F.lit(10)).cast("string")))).otherwise(typed)
-    shorter = F.when(hit("incomplete"), F.regexp_replace(corrected, r"^([^,/]+)[,/] ?", "")).otherwise(corrected)
-    return F.when(hit("bleed"), F.regexp_replace(shorter, r"^(.*?\w) (?=\w)", "$1")).otherwise(shorter)
+
+    def cut(x: Column) -> Column:
+        left = F.greatest(F.lit(2), (size(x) * (0.5 + 0.5 * draw("cut"))).cast("int"))
+        return F.when(hit("trailing_off") & (size(x) > 4), F.substring(x, F.lit(1), left)).otherwise(x)
+
+    def typo_at(x: Column, at: Column) -> Column:
+        head, rest = F.substring(x, F.lit(1), at - 1), lambda k: F.substring(x, at + k, size(x))
+        omit = F.concat(head, rest(1))
+        double = F.concat(head, F.substring(x, at, F.lit(1)), rest(0))
+        swap = F.concat(head, F.substring(x, at + 1, F.lit(1)), F.substring(x, at, F.lit(1)), rest(2))
+        return F.when(draw("typo_kind") < 0.25, omit).when(draw("typo_kind") < 0.5, double).when(draw("typo_kind") < 0.75, swap).otherwise(misread(x))
+
+    def misread(x: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for a, b in OCR:
+            place = F.instr(x, a)
+            out = F.coalesce(out, F.when(place > 0, F.concat(F.substring(x, F.lit(1), place - 1), F.lit(b), F.substring(x, place + len(a), size(x)))))
+        return F.coalesce(out, x)
+
+    def typed(x: Column) -> Column:
+        at = F.floor(draw("typo_at") * size(x)).cast("int") + 1
+        return F.when(hit("typo") & (size(x) > 2), let(at, lambda a: typo_at(x, a))).otherwise(x)
+
+    def corrected(x: Column) -> Column:
+        def fix(digit: Column) -> Column:
+            after = F.pmod(digit.cast("int") + 1, F.lit(10)).cast("string")
+            return F.when(hit("correction") & (digit != ""), F.regexp_replace(x, F.concat(F.lit("^([^0-9]*)"), digit), F.concat(F.lit("$1"), digit, F.lit(" "), after))).otherwise(x)
+
+        return let(F.regexp_extract(x, "([0-9])", 1), fix)
+
+    shorter = lambda x: F.when(hit("incomplete"), F.regexp_replace(x, r"^([^,/]+)[,/] ?", "")).otherwise(x)
+    bled = lambda x: F.when(hit("bleed"), F.regexp_replace(x, r"^(.*?\w) (?=\w)", "$1")).otherwise(x)
+    out = text
+    for step in (cut, typed, corrected, shorter, bled):
+        out = let(out, step)
+    return out
 
 
 def records(entry: DataFrame, unique_terms: DataFrame, seed: int = 42) -> DataFrame:
@@ -278,4 +301,4 @@ def sequential_situations(people: DataFrame, situations: list[str], group: str,
 
     keyed = people.withColumns({"_u1": u(seed, "reuse", F.col(order)), "_u2": u(seed, "which", F.col(order))})
     ordered = keyed.repartition(group).sortWithinPartitions(group, order)
-    return ordered.mapInPandas(run, ordered.schema.add("situation", "string")).drop("_u1", "_u2")
+    return ordered.mapInPandas(run, StructType([*ordered.schema.fields]).add("situation", "string")).drop("_u1", "_u2")

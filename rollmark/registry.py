@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import structure, text
+from .queries import entities, rules, structure, text
 
-MODULES = (structure, text)
+MODULES = (structure, text, entities, rules)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
