@@ -171,3 +171,50 @@ def quality_rules(
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+_RISK, _DELTA = 0.01, 0.05
+ORACLE = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT doc_id, stratum, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+), win AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS h FROM w, unnest(generate_series(1, len(words) - 2)) AS g(i)
+), rep AS (
+  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, h) > 1
+), cov AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM rep, unnest([i, i + 1, i + 2]) AS g(p) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, stratum, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS n_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
+         coalesce(cov.n, 0) AS n_repeat_words, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '[^\x20\x09-\x0D]{{31}}')) AS n_long
+  FROM w LEFT JOIN cov USING (doc_id)
+), s AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         coalesce(n_symbols / nullif(n_chars, 0), 0) AS symbol_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share,
+         coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_share, coalesce(n_upper / nullif(n_chars, 0), 0) AS upper_share,
+         least(coalesce(n_long / nullif(n_words, 0), 0), 1) AS long_word_share
+  FROM m
+), held AS (
+  SELECT stratum, rule, share FROM (SELECT * FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
+  UNPIVOT (share FOR rule IN ({", ".join(RULES)}))
+), grid(cutoff) AS (
+  VALUES {", ".join(f"(CAST({c} AS DOUBLE))" for c in GRID)}
+), counts AS (
+  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (share > cutoff) AS k FROM held, grid GROUP BY stratum, rule, cutoff
+), certified AS (
+  SELECT stratum, rule, min(cutoff) AS cutoff FROM counts
+  WHERE k < n * {_RISK / len(RULES)!r} AND (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_RISK / len(RULES)!r}) + (n - j) * ln(1 - {_RISK / len(RULES)!r}))) FROM unnest(generate_series(0, k)) AS g(j)
+  ) <= {_DELTA} / ((SELECT count(DISTINCT stratum) FROM held) * {len(RULES) * len(GRID)})
+  GROUP BY stratum, rule
+), judged AS (
+  SELECT s.*, array_to_string(list_filter([{", ".join(f"CASE WHEN s.{r} > (SELECT cutoff FROM certified c WHERE c.stratum = s.stratum AND c.rule = '{r}') THEN '{r}' END" for r in RULES)}], lambda x: x IS NOT NULL), ',') AS failed_rules FROM s
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_chars AS BIGINT) AS n_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(failed_rules, '') = '' AS kept, coalesce(failed_rules, '') AS failed_rules
+FROM judged
+"""

@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_line_templates": line_templates.ORACLE,
+    "op4_quality_rules": quality_rules.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
 }

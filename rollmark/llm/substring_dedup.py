@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_CLASS, documents, narrow, quoted, saved, ship, text_or_empty
+from ._common import WORD_CLASS, documents, narrow, saved, ship, text_or_empty
 
 WORD = re.compile(WORD_CLASS)
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -283,14 +283,15 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All rows and columns of ``docs``, the text without the words that substring_dedup removes.
     Texts that lose nothing stay as they are; of others the words left are joined by one space."""
     ship(docs.sparkSession)
-    columns = docs.columns
-    own_id, own_text = quoted(id_col).cast("long"), text_or_empty(quoted(text_col))
-    keyed = docs.withColumns({"_cut_id": own_id, "_cut_hash": F.xxhash64(own_text)})
-    known = keyed.where("_cut_id IS NOT NULL")
-    spans = find_spans(known.select(F.col("_cut_id").alias("doc_id"), own_text.alias("text"), F.col("_cut_hash").alias("text_hash")), window)
-    spans = spans.select(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"), F.col("spans").alias("_cut_spans"))
-    joined = known.join(spans, ["_cut_id", "_cut_hash"], "left").select(*[quoted(c) for c in columns], "_cut_spans")
-    place = columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the columns are called
+    columns, place = plain.columns, docs.columns.index(text_col)
+    own_id = F.col(f"c{docs.columns.index(id_col)}").cast("long")
+    own_text = text_or_empty(f"c{place}")
+    keyed = plain.withColumns({"cut_id": own_id, "cut_hash": F.xxhash64(own_text)})
+    known = keyed.where("cut_id IS NOT NULL")
+    spans = find_spans(known.select(F.col("cut_id").alias("doc_id"), own_text.alias("text"), F.col("cut_hash").alias("text_hash")), window)
+    spans = spans.select(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"), F.col("spans").alias("cut_spans"))
+    joined = known.join(spans, ["cut_id", "cut_hash"], "left").select(*columns, "cut_spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +304,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             arrays = [pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    return joined.mapInArrow(clean, docs.schema).unionByName(docs.where(own_id.isNull()))
+    return joined.mapInArrow(clean, plain.schema).unionByName(plain.where(own_id.isNull())).toDF(*docs.columns)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
