@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package as ship
+
 #: One ASCII white-space character, and a run of anything else (a word).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -49,20 +51,3 @@ def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Id and text only, under fixed names; the Python code of this package goes to the workers."""
     ship(docs.sparkSession)
     return docs.select(quoted(id_col).cast("long").alias("doc_id"), text_or_empty(quoted(text_col)).alias("text"))
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per Spark context."""
-    context = spark.sparkContext
-    if getattr(context, "_rollmark_shipped", False):
-        return
-    import zipfile
-    from pathlib import Path
-
-    package = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="rollmark-")) / "rollmark_code.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for path in sorted(package.rglob("*.py")):
-            out.write(path, path.relative_to(package.parent))
-    context.addPyFile(str(target))
-    context._rollmark_shipped = True
