@@ -153,6 +153,8 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                 )
 
     found = docs.mapInArrow(occurrences, "doc_id long, text_hash long, first int, runs short, anchor long, context long")
+    # said beforehand, as the joins below would say it of some of the uses only and set them apart
+    found = found.where("anchor IS NOT NULL AND context IS NOT NULL")
     variants = found.groupBy("anchor", "context").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"))
     shared = (
         variants.groupBy("anchor")
