@@ -6,7 +6,7 @@ of partitioning: any part of a data set can be made anywhere, again and again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -123,8 +123,6 @@ def sources(spark: SparkSession, n: int, homes: DataFrame, seed: int = 42) -> Da
 
     homes: branch, levels, post_levels of possible home posts, taken in turn.
     """
-    from pyspark.sql import Window
-
     numbered = homes.select("branch", "levels", "post_levels").withColumn("home", F.row_number().over(Window.orderBy("branch", F.to_json("post_levels"))) - 1)
     total = max(1, numbered.count())
     key = F.col("id")
@@ -144,13 +142,9 @@ def sources(spark: SparkSession, n: int, homes: DataFrame, seed: int = 42) -> Da
 def entries(source: DataFrame, state: DataFrame, seed: int = 42) -> DataFrame:
     """source_id, entry, soldier_id and the state a source sees: n_entries entities of each source, drawn
     by hash, mostly (70 %) of the home branch; the state is the anchor's or the last one."""
-    by_branch = state.where("state_order = 1").groupBy("branch").agg(F.array_sort(F.collect_list("soldier_id")).alias("ids"))
-    # one id list per branch is an organisation's roster; a slot joins its branch by (branch, rank)
     ranked = state.where("state_order = 1").select("branch", "soldier_id")
-    from pyspark.sql import Window
-
+    sizes = ranked.groupBy("branch").agg(F.count(F.lit(1)).alias("size"))
     ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("branch").orderBy("soldier_id")))
-    sizes = by_branch.select("branch", F.size("ids").alias("size"))
     names = sorted(r[0] for r in sizes.select("branch").collect())
     slots = source.select("source_id", "home_branch", "temporal_anchor", "quality_tier", "home_unit", F.explode(F.sequence(F.lit(1), F.col("n_entries"))).alias("entry"))
     same = u(seed, "same", F.col("source_id"), F.col("entry")) < SAME_BRANCH_SHARE
@@ -163,6 +157,49 @@ def entries(source: DataFrame, state: DataFrame, seed: int = 42) -> DataFrame:
     return chosen.join(state, ["soldier_id", "state_order"])
 
 
+#: Chances of a clerk's archetype (fixed values): to leave levels out, to mistype, to abbreviate.
+ARCHETYPES = {"careful": (0.05, 0.02, 0.2), "hurried": (0.4, 0.2, 0.6), "tired": (0.3, 0.3, 0.4), "terse": (0.5, 0.05, 0.9)}
+
+
+def clerks(spark: SparkSession, n: int, seed: int = 42, jitter: float = 0.1) -> DataFrame:
+    """clerk_id, archetype, and its chances with uniform jitter, kept between 0 and 1."""
+    key = F.col("id")
+    kind = pick(u(seed, "archetype", key), F.array(*map(F.lit, sorted(ARCHETYPES))))
+    base = spark.range(n).withColumn("archetype", kind)
+    out = [F.format_string("K%04d", "id").alias("clerk_id"), "archetype"]
+    for i, name in enumerate(("omits", "mistypes", "abbreviates")):
+        value = F.element_at(F.create_map(*[F.lit(x) for k, v in sorted(ARCHETYPES.items()) for x in (k, v[i])]), F.col("archetype"))
+        out.append(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value + (2 * u(seed, name, key) - 1) * jitter)).alias(name))
+    return base.select(*out)
+
+
+def resolve_terms(vocabulary: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern and its terms: ``defense_*`` stands for all lists whose name starts with ``defense_``.
+    vocabulary: name, terms (array). patterns: pattern. Both are small dimensions."""
+    wild = F.col("pattern").endswith("*")
+    prefix = F.expr("substring(pattern, 1, length(pattern) - 1)")
+    match = F.when(wild, F.startswith(F.col("name"), prefix)).otherwise(F.col("name") == F.col("pattern"))
+    joined = F.broadcast(patterns.distinct()).join(vocabulary, match, "left")
+    return joined.groupBy("pattern").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("terms", F.array().cast("array<string>")))))).alias("terms"))
+
+
+def inject_terms(text: Column, terms: Column, chance: float, seed: int, purpose: str, *keys: Column) -> Column:
+    """Add one of the terms to a text by chance, after one or (30 %) two spaces."""
+    hit = (hash_unit(seed, F.lit(purpose), *keys) < chance) & (F.size(terms) > 0)
+    gap = F.when(hash_unit(seed, F.lit(purpose + "_gap"), *keys) < 0.3, "  ").otherwise(" ")
+    return F.when(hit, F.concat(text, gap, pick(hash_unit(seed, F.lit(purpose + "_term"), *keys), terms))).otherwise(text)
+
+
+def roster_stats(source: DataFrame, record: DataFrame) -> DataFrame:
+    """One row: entities, sources, records, records per source, share of complete records, mean quality tier."""
+    per = record.agg(
+        F.count_distinct("soldier_id").alias("n_soldiers"), F.count(F.lit(1)).alias("n_records"),
+        F.avg((F.col("path_completeness") >= 0.95).cast("int")).alias("complete_share"), F.avg("quality_tier").alias("mean_tier"),
+    )
+    sources_n = source.agg(F.count(F.lit(1)).alias("n_sources"))
+    return per.join(F.broadcast(sources_n)).withColumn("records_per_source", F.col("n_records") / F.greatest(F.col("n_sources"), F.lit(1)))
+
+
 def familiarity(home_branch: Column, home_levels: Column, branch: Column, levels: Column, post: Column) -> Column:
     """same_l3, same_l2, same_branch or different_branch, from the first three levels."""
     at = lambda i: F.element_at(post, F.get(levels, F.lit(i))) == F.get(home_levels, F.lit(i))

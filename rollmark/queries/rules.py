@@ -331,3 +331,24 @@ def synthetic_states(t):
 @query()
 def sequential_situations(t):
     return synth.sequential_situations(t.customer.select("c_mktsegment", "c_custkey"), ["march", "camp", "siege", "parade"], "c_mktsegment", "c_custkey")
+
+
+@query("""WITH v AS (SELECT lower(p_type) || '_' || split_part(p_name, ' ', 2) AS name, p_name AS term FROM part), p(pattern) AS (VALUES ('promo_*'), ('small_bolt'), ('none_*'))
+SELECT pattern, coalesce(array_to_string(list_sort(list(DISTINCT term) FILTER (term IS NOT NULL)), ','), '') AS terms FROM p LEFT JOIN v ON CASE WHEN pattern LIKE '%*' THEN starts_with(name, substring(pattern, 1, length(pattern) - 1)) ELSE name = pattern END GROUP BY pattern""")
+def resolved_vocabulary(t):
+    name = F.concat_ws("_", F.lower("p_type"), F.split_part("p_name", F.lit(" "), F.lit(2)))
+    vocabulary = t.part.groupBy(name.alias("name")).agg(F.collect_set("p_name").alias("terms"))
+    patterns = t.spark.createDataFrame([("promo_*",), ("small_bolt",), ("none_*",)], "pattern string")
+    return synth.resolve_terms(vocabulary, patterns).withColumn("terms", joined("terms"))
+
+
+@query()
+def synthetic_clerks(t):
+    return synth.clerks(t.spark, 500)
+
+
+@query()
+def roster_stats(t):
+    terms = t.region.select(F.col("r_name").alias("branch"), F.lower("r_name").alias("term"))
+    made = pipelines.synthetic_roster(t.spark, t.dims(), terms, 2000, 200)
+    return synth.roster_stats(made["sources"], made["records"])
