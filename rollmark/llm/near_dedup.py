@@ -9,13 +9,16 @@ keeps its earliest point. Two documents agree in a component with probability
 ``sum(min) / sum(max)``, their weighted Jaccard similarity. Only points before a time bound
 that fills all components are drawn, so the work hardly depends on the document's length.
 
-Components are cut into bands; documents that agree in a whole band are candidates.
-Documents with equal multisets are one representative. Within a bucket of a band:
+Components are cut into bands; documents that agree in a whole band share a bucket and are
+candidates. Documents with equal multisets are one representative. Buckets are not paired off:
 
-* every member is verified against the bucket's smallest member (once per pair, the
-  hub that most of a document's buckets agree on first), and links are joined to components;
-* buckets that still hold several components are split by a second band, and all pairs
-  across components within these finer buckets are verified.
+1. Every member is verified against one hub, a bucket's most central member (the one with most
+   company in all its buckets; in a group of copies that is the original). Links are joined
+   to components, and a bucket within one component is done.
+2. Members of buckets that still hold several components are compared by a prefix filter: two
+   texts of similarity t share one of the rarest ``1 - t`` of their shingles, in any fixed
+   order of shingles. Passages that many documents share come last in the order, so they
+   bring no pairs about. Pairs across components that share such a shingle are verified.
 
 Verification compares the whole multisets.
 """
@@ -35,7 +38,9 @@ from .components import connected_components
 from .substring_dedup import Rolling, _signed, _slices, mix, word_hashes
 
 SHINGLE = 5
-BANDS, ROWS = 45, 7
+BANDS, ROWS = 32, 6
+#: Counters that order shingles by frequency; the table of counts is broadcast, its size is fixed.
+COUNTERS = 1 << 16
 
 
 def shingle_hashes(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +187,47 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFram
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def rare_shingles(texts: DataFrame, k: int, least: float) -> DataFrame:
+    """token, node, label, total: of each text (node, label, text) the rarest shingles, as many as
+    one of them must be in any text of similarity ``least``. A repeated shingle is a new token
+    each time. Rarity is read off a fixed number of counters: a counter shared by
+    rare shingles changes the order, not the result."""
+
+    def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        h, d, w = multisets(*shingle_hashes(texts, k))
+        nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        return mix(np.repeat(h, w) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.repeat(d, w)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for cut in _slices(batch, "text", 1_000_000):
+                h, _ = tokens(cut.column("text").to_pylist())
+                total += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["counter", "n"])
+
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    for row in texts.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
+        counts[row["counter"]] = row["n"]
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in _slices(batch, "text", 1_000_000):
+                h, d = tokens(cut.column("text").to_pylist())
+                order = np.lexsort((h, shared.value[(h % np.uint64(COUNTERS)).astype(np.int64)], d))
+                h, d = h[order], d[order]
+                sizes = np.bincount(d, minlength=cut.num_rows)
+                place = np.arange(len(d)) - (np.cumsum(sizes) - sizes)[d]
+                keep = place <= sizes[d] - np.ceil(least * sizes[d] - 1e-9)
+                rows = pa.array(d[keep])
+                arrays = [_signed(h[keep]), cut.column("node").take(rows), cut.column("label").take(rows), pa.array(sizes[d[keep]])]
+                yield pa.RecordBatch.from_arrays(arrays, ["token", "node", "label", "total"])
+
+    return texts.select("node", "label", "text").mapInArrow(rare, "token long, node long, label long, total long")
+
+
 def near_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -195,8 +241,8 @@ def near_dedup(
 
     A class is a connected component of texts whose multisets of word shingles have a weighted
     Jaccard similarity of at least ``least``. A pair of exactly 0.8 agrees in no band with a
-    probability of 3 in 100,000 and in fewer than two with one of 3 in 10,000 (what round 2
-    needs); more similar pairs are missed less often.
+    probability of 6 in 100,000; more similar pairs are missed less often. All that agree in
+    one are either joined or compared.
 
     Words are compared unchanged. Texts without words (null and empty ones) are alike. A text of
     fewer than ``k`` words is one shingle. Rows with a null id form no classes: each is returned
@@ -208,43 +254,43 @@ def near_dedup(
     known = source.where("doc_id IS NOT NULL")
     sketches = saved(sketch(known, k, bands, rows))
     # documents with equal multisets are one representative, the smallest of their ids
-    reps = sketches.groupBy("print1", "print2", "total").agg(F.min("doc_id").alias("node"))
+    reps = saved(sketches.groupBy("print1", "print2", "total").agg(F.min("doc_id").alias("node")))
     members = saved(sketches.join(reps, ["print1", "print2", "total"]).select("doc_id", "text_hash", "node"))
     # one row for each representative (an id repeated with several texts gives one for each text)
-    own = sketches.join(reps, ["print1", "print2", "total"]).where("doc_id = node").dropDuplicates(["node", "text_hash"])
-    entries = own.select("node", "text_hash", "total", F.posexplode("keys").alias("band", "key")).select("node", "total", "band", "key")
-    buckets = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
-    shared = saved(entries.join(buckets, "key").select("key", "band", "node", "total", "hub"))
-    wanted = shared.select(F.col("node").alias("doc_id")).distinct()
-    texts = saved(known.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node"))
-
-    # round 1: each document with the hub that it shares most buckets with
-    votes = shared.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
-    first = votes.groupBy("node").agg(F.min_by("hub", F.struct(-F.col("n"), F.col("hub"))).alias("hub"))
+    own = sketches.join(reps.withColumnRenamed("node", "doc_id"), ["print1", "print2", "total", "doc_id"])
+    own = own.dropDuplicates(["doc_id", "text_hash"]).withColumnRenamed("doc_id", "node")
+    entries = own.select("node", "total", F.explode("keys").alias("key"))
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = saved(entries.join(buckets, "key").select("key", "node", "total", "n"))
+    central = saved(shared.groupBy("node").agg(F.sum("n").alias("company"), F.min("total").alias("total")))
+    texts = saved(known.join(central.select(F.col("node").alias("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node"))
+
+    # round 1: each document with the hub of its fullest bucket
+    ranked = shared.select("key", "node", "n").join(central.select("node", "company"), "node")
+    hubs = ranked.groupBy("key").agg(F.max_by("node", F.struct(F.col("company"), -F.col("node"))).alias("hub"))
+    votes = ranked.join(hubs, "key").where("node <> hub")
+    first = votes.groupBy("node").agg(F.max_by("hub", F.struct(F.col("n"), -F.col("hub"))).alias("hub"))
     tried = saved(first.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     links = saved(verify(tried, texts, k, least))
     labels = connected_components(links)
 
-    # round 2: buckets that hold several components, split by a second band
-    label = F.coalesce("label", "node").alias("label")
-    placed = shared.join(labels, "node", "left").select("key", "band", "node", "total", label)
+    # round 2: members of buckets that hold several components
+    placed = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     opened = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    placed = placed.join(opened, "key")
-    finer = placed.alias("x").join(
-        placed.select("node", F.col("key").alias("key2"), F.col("band").alias("band2")).alias("y"), "node"
-    ).where("band < band2")
-    finer = saved(finer.groupBy("key", "key2", "label", "node", "total").agg(F.lit(1).alias("one")).drop("one"))
-    cells = finer.groupBy("key", "key2").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "key2")
-    finer = finer.join(cells, ["key", "key2"])
+    open_nodes = saved(placed.join(opened, "key").select("node", "label").distinct())
+    prefixes = rare_shingles(texts.join(open_nodes, "node").select("node", "label", "text"), k, least)
+    cells = prefixes.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    prefixes = saved(prefixes.join(cells, "token"))
     pairs = (
-        finer.select("key", "key2", F.col("node").alias("a"), F.col("label").alias("la"), F.col("total").alias("wa"))
-        .join(finer.select("key", "key2", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("total").alias("wb")), ["key", "key2"])
+        prefixes.select("token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("total").alias("wa"))
+        .join(prefixes.select("token", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("total").alias("wb")), "token")
         .where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
         .where((F.least("wa", "wb") >= F.greatest("wa", "wb") * F.lit(least) - 1e-6))
         .select("a", "b")
         .distinct()
     )
-    pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"))
+    both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = saved(pairs.join(both_ways, ["a", "b"], "left_anti"))
     more = saved(verify(pairs, texts, k, least))
     labels = connected_components(links.unionByName(more))
 
