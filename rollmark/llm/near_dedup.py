@@ -188,7 +188,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFram
 
 
 def rare_shingles(texts: DataFrame, k: int, least: float) -> DataFrame:
-    """token, place, node, label, total: of each text (node, label, text) the rarest shingles, as many as
+    """token, before, place, node, label, total: of each text (node, label, text) the rarest shingles, as many as
     one of them must be in any text of similarity ``least``. A repeated shingle is a new token
     each time. Rarity is read off a fixed number of counters: a counter shared by
     rare shingles changes the order, not the result."""
@@ -222,10 +222,11 @@ def rare_shingles(texts: DataFrame, k: int, least: float) -> DataFrame:
                 place = np.arange(len(d)) - (np.cumsum(sizes) - sizes)[d]
                 keep = place <= sizes[d] - np.ceil(least * sizes[d] - 1e-9)
                 rows = pa.array(d[keep])
-                arrays = [_signed(h[keep]), pa.array(place[keep]), cut.column("node").take(rows), cut.column("label").take(rows), pa.array(sizes[d[keep]])]
-                yield pa.RecordBatch.from_arrays(arrays, ["token", "place", "node", "label", "total"])
+                before = np.roll(h, 1)
+                arrays = [_signed(h[keep]), _signed(before[keep]), pa.array(place[keep]), cut.column("node").take(rows), cut.column("label").take(rows), pa.array(sizes[d[keep]])]
+                yield pa.RecordBatch.from_arrays(arrays, ["token", "before", "place", "node", "label", "total"])
 
-    return texts.select("node", "label", "text").mapInArrow(rare, "token long, place long, node long, label long, total long")
+    return texts.select("node", "label", "text").mapInArrow(rare, "token long, before long, place long, node long, label long, total long")
 
 
 def near_dedup(
@@ -282,12 +283,14 @@ def near_dedup(
     cells = prefixes.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     prefixes = saved(prefixes.join(cells, "token"))
     pairs = (
-        prefixes.select("token", F.col("place").alias("pa"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("total").alias("wa"))
-        .join(prefixes.select("token", F.col("place").alias("pb"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("total").alias("wb")), "token")
+        prefixes.select("token", F.col("before").alias("ta"), F.col("place").alias("pa"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("total").alias("wa"))
+        .join(prefixes.select("token", F.col("before").alias("tb"), F.col("place").alias("pb"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("total").alias("wb")), "token")
         .where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
         .where((F.least("wa", "wb") >= F.greatest("wa", "wb") * F.lit(least) - 1e-6))
         # if this is the first shingle that the two share, no more than what follows it can be shared
         .where(F.least(F.col("wa") - F.col("pa"), F.col("wb") - F.col("pb")) >= (F.col("wa") + F.col("wb")) * F.lit(least / (1 + least)) - 1e-6)
+        # a pair that shares the shingle before this one as well has been found by that
+        .where((F.col("pa") == 0) | (F.col("pb") == 0) | (F.col("ta") != F.col("tb")))
         .select("a", "b")
         .distinct()
     )
