@@ -13,6 +13,9 @@ again or executors are lost between them.
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -27,31 +30,56 @@ from ._common import documents, narrow, saved
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: A run of letters, or a run of anything else. Between the two the tokenizer's words always end.
+RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
+
+
 class WordCache(dict):
-    """Ids of each white-space separated word, kept up to ``limit`` words."""
+    """The ids of white-space separated words, packed as bytes; up to ``limit`` words are kept.
 
-    def __init__(self, encode, limit: int = 300_000):
+    A new word is put together from its runs of letters and of other characters, which repeat
+    far more often than whole words; only unknown runs go to the tokenizer. Words with an
+    apostrophe (its contractions hold letters) or not in composed form are encoded whole.
+    """
+
+    def __init__(self, encode, limit: int = 500_000):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.runs, self.older = encode, limit, {}, {}
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.limit:
+        new = words.difference(self)
+        if not new:
+            return
+        if len(self) + len(new) > self.limit:  # start anew, with the full cache to look into
+            self.older = dict(self)
             self.clear()
-            new = list(words)
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            self.update(zip(part, self.encode(part), strict=True))
-
-
-_CACHES: dict[str, WordCache] = {}
-
-
-def tokenizer_cache(name: str) -> WordCache:
-    """The words of a `tokenizers` file (a name of public_tokenizers, or a path), cached per worker."""
+            new = words
+        split, older = {}, self.older
+        for word in new:
+            if word in older:
+                self[word] = older[word]
+                continue
+            plain = "'" not in word and (word.isascii() or unicodedata.is_normalized("NFC", word))
+            split[word] = RUNS.findall(word) if plain else [word]
+        runs = self.runs
+        unknown = list({r for parts in split.values() for r in parts if r not in runs})
+        if len(runs) + len(unknown) > self.limit:
+            runs.clear()
+            unknown = list({r for parts in split.values() for r in parts})
+        for start in range(0, len(unknown), 2000):
+            part = unknown[start : start + 2000]
+            runs.update(zip(part, self.encode(part), strict=True))
+        for word, parts in split.items():
+            self[word] = runs[parts[0]] if len(parts) == 1 else b"".join(map(runs.__getitem__, parts))
+
+
+_CACHES: dict[str, tuple[WordCache, str]] = {}
+
+
+def tokenizer_cache(name: str) -> tuple[WordCache, str]:
+    """The words of a `tokenizers` file (a name of public_tokenizers, or a path), and the type of an
+    id in their bytes; one per worker."""
     if name not in _CACHES:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -63,21 +91,20 @@ def tokenizer_cache(name: str) -> WordCache:
             path = public_tokenizers.path(name)
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        kind = "<u2" if tokenizer.get_vocab_size() <= 65536 else "<u4"
 
-        def encode(words: list[str]) -> list[tuple[int, ...]]:
-            return [tuple(e.ids) for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+        def encode(words: list[str]) -> list[bytes]:
+            return [np.array(e.ids, dtype=kind).tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
 
-        _CACHES[name] = WordCache(encode)
+        _CACHES[name] = WordCache(encode), kind
     return _CACHES[name]
 
 
-def encode_texts(texts: list[str], cache: WordCache, step: int = 256) -> Iterator[np.ndarray]:
+def encode_texts(texts: list[str], cache: WordCache) -> list[bytes]:
     """Ids of whole texts. The vocabulary drops white space, so words are encoded one by one."""
-    for start in range(0, len(texts), step):
-        split = [t.replace("\n", " ").split(" ") for t in texts[start : start + step]]
-        cache.learn(set(chain.from_iterable(split)))
-        for words in split:
-            yield np.fromiter(chain.from_iterable(map(cache.__getitem__, words)), dtype=np.uint32)
+    split = [t.replace("\n", " ").split(" ") for t in texts]
+    cache.learn(set(chain.from_iterable(split)))
+    return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
 def pack_documents(
@@ -101,16 +128,14 @@ def pack_documents(
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, cache = TaskContext.get().partitionId(), 0, tokenizer_cache(tokenizer)
+        part, at = TaskContext.get().partitionId(), 0
+        cache, kind = tokenizer_cache(tokenizer)
+        end = np.array([end_id], dtype=kind).tobytes()
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 cut = batch.slice(begin, 256)
-                blobs, counts = [], []
-                for ids in encode_texts(cut.column("text").to_pylist(), cache):
-                    counts.append(len(ids) + 1)
-                    ids = np.append(ids, np.uint32(end_id))
-                    blobs.append(ids.astype("<u2").tobytes() if ids.max() < 65536 else ids.astype("<u4").tobytes())
-                sizes = np.array(counts, dtype=np.int64)
+                blobs = [ids + end for ids in encode_texts(cut.column("text").to_pylist(), cache)]
+                sizes = np.array([len(b) // len(end) for b in blobs], dtype=np.int64)
                 local = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays(
