@@ -13,12 +13,13 @@ again or executors are lost between them.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,50 +36,75 @@ RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 
 
 class WordCache(dict):
-    """The ids of white-space separated words, packed as bytes; up to ``limit`` words are kept.
+    """The ids of white-space separated words, packed as bytes; up to ``limit`` words are kept, and as
+    many of those before them.
 
     A new word is put together from its runs of letters and of other characters, which repeat
-    far more often than whole words; only unknown runs go to the tokenizer. Words with an
-    apostrophe (its contractions hold letters) or not in composed form are encoded whole.
+    far more often than whole words. Runs of letters go to the byte-level model directly, others,
+    words with an apostrophe (its contractions hold letters) and words not in composed form
+    to the whole tokenizer.
     """
 
-    def __init__(self, encode, limit: int = 500_000):
+    def __init__(self, tokenizer, limit: int = 600_000):
         super().__init__()
-        self.encode, self.limit, self.runs, self.older = encode, limit, {}, {}
-
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self)
-        if not new:
-            return
-        if len(self) + len(new) > self.limit:  # start anew, with the full cache to look into
+        self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
+        self.kind = "<u2" if tokenizer.get_vocab_size() <= 65536 else "<u4"
+        self.pack = "H" if self.kind == "<u2" else "I"
+        self.older: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.bytes = byte_alphabet()
+        # only with the normaliser and the splits that the short cuts stand for
+        state = json.loads(tokenizer.to_str())
+        kinds = [x["type"] for x in (state.get("normalizer") or {}).get("normalizers", [])]
+        splits = [x["type"] for x in (state.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.short_cuts = kinds == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"]
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
-            new = words
-        split, older = {}, self.older
-        for word in new:
-            if word in older:
-                self[word] = older[word]
-                continue
-            plain = "'" not in word and (word.isascii() or unicodedata.is_normalized("NFC", word))
-            split[word] = RUNS.findall(word) if plain else [word]
-        runs = self.runs
-        unknown = list({r for parts in split.values() for r in parts if r not in runs})
-        if len(runs) + len(unknown) > self.limit:
-            runs.clear()
-            unknown = list({r for parts in split.values() for r in parts})
-        for start in range(0, len(unknown), 2000):
-            part = unknown[start : start + 2000]
-            runs.update(zip(part, self.encode(part), strict=True))
-        for word, parts in split.items():
-            self[word] = runs[parts[0]] if len(parts) == 1 else b"".join(map(runs.__getitem__, parts))
-
-
-_CACHES: dict[str, tuple[WordCache, str]] = {}
-
-
-def tokenizer_cache(name: str) -> tuple[WordCache, str]:
-    """The words of a `tokenizers` file (a name of public_tokenizers, or a path), and the type of an
-    id in their bytes; one per worker."""
+        found = self.older.get(word)
+        if found is None:
+            if not word:
+                found = b""
+            elif self.short_cuts and "'" not in word and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+                get, run = self.runs.get, self._run
+                found = b"".join([get(r) or run(r) for r in RUNS.findall(word)])
+            else:
+                found = self._whole(word)
+        self[word] = found
+        return found
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.pack, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        low = run.lower()
+        if run.isalpha() and (run.isascii() or (low.isalpha() and "Σ" not in run)):
+            if not low.isascii():
+                low = "".join(map(self.bytes.__getitem__, low.encode()))
+            found = array(self.pack, [t.id for t in self.model.tokenize(low)]).tobytes()
+        else:
+            found = self._whole(run)
+        if len(self.runs) >= self.limit:
+            self.runs.clear()
+        self.runs[run] = found
+        return found
+
+
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1
+    characters for themselves, all other bytes, in order, for those from 256."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+_CACHES: dict[str, WordCache] = {}
+
+
+def tokenizer_cache(name: str) -> WordCache:
+    """The words of a `tokenizers` file (a name of public_tokenizers, or a path); one per worker."""
     if name not in _CACHES:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -91,20 +117,13 @@ def tokenizer_cache(name: str) -> tuple[WordCache, str]:
             path = public_tokenizers.path(name)
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        kind = "<u2" if tokenizer.get_vocab_size() <= 65536 else "<u4"
-
-        def encode(words: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype=kind).tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
-
-        _CACHES[name] = WordCache(encode), kind
+        _CACHES[name] = WordCache(tokenizer)
     return _CACHES[name]
 
 
 def encode_texts(texts: list[str], cache: WordCache) -> list[bytes]:
     """Ids of whole texts. The vocabulary drops white space, so words are encoded one by one."""
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    cache.learn(set(chain.from_iterable(split)))
-    return [b"".join(map(cache.__getitem__, words)) for words in split]
+    return [b"".join(map(cache.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def pack_documents(
@@ -129,8 +148,8 @@ def pack_documents(
         from pyspark import TaskContext
 
         part, at = TaskContext.get().partitionId(), 0
-        cache, kind = tokenizer_cache(tokenizer)
-        end = np.array([end_id], dtype=kind).tobytes()
+        cache = tokenizer_cache(tokenizer)
+        end = np.array([end_id], dtype=cache.kind).tobytes()
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 cut = batch.slice(begin, 256)
