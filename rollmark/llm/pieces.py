@@ -1,16 +1,28 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-The best segmentation of a text is found in one pass from left to right. Scores are kept
-for a window no longer than the longest piece; back pointers are kept only until all paths
-that are still alive share a boundary, and the ids up to it are then committed. Where no
-piece of the vocabulary crosses from a character into a following word mark, every path
-has a boundary there, so the spans between such places are independent and the ids of
+The segmentation of a text is found in one pass from left to right. What is known of a
+boundary (its best score, or its last piece) is kept for a window no longer than the longest
+piece; back pointers are kept only until all paths that are still alive share a boundary, and
+the ids up to it are then committed.
+
+Two kinds of models differ in what makes a path survive at a boundary:
+
+* unigram: the path with the highest sum of scores;
+* BPE: the path whose neighbouring pieces are compatible. The pieces a BPE model gives for a
+  text are the one sequence in which every two neighbours are also what it gives for these
+  two alone, so each boundary has exactly one surviving path. Two pieces are compatible if
+  no merge across them comes before the merges that made them, which is read off by undoing
+  those merges, latest first.
+
+Where no piece of the vocabulary crosses from a character into a following word mark, every
+path has a boundary there, so the spans between such places are independent and the ids of
 short spans are kept in a bounded cache.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +36,38 @@ MARK = "▁"
 UNKNOWN_PENALTY = -10.0
 
 
+class SpanCache(dict):
+    """Ids of short spans as bytes; up to ``limit`` are kept, and as many of those before them."""
+
+    def __init__(self, coder: PieceCoder, limit: int):
+        super().__init__()
+        self.coder, self.limit = coder, limit
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, span: str) -> bytes:
+        found = self.older.get(span)
+        if found is None:
+            found = self.coder.span_ids(span)
+        if len(span) <= 48:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[span] = found
+        return found
+
+
 class PieceCoder:
-    """Pieces, scores and byte ids of a SentencePiece model."""
+    """Pieces, scores and byte ids of a SentencePiece model; ``kind`` is "unigram" or "bpe"."""
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], cache_limit: int = 300_000):
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], kind: str = "unigram", cache_limit: int = 600_000):
+        self.kind = kind
         self.ids = {p: i for p, (i, _) in pieces.items()}
         self.longest = max(map(len, pieces))
         self.byte_ids = byte_ids
         self.unknown = min(s for _, s in pieces.values()) + UNKNOWN_PENALTY
+        self.scores = {p: s for p, (_, s) in pieces.items()}
+        counts = Counter(self.scores.values())
+        self.tied = {p for p, s in self.scores.items() if counts[s] > 1 and len(p) > 1}
         # a trie as one dictionary of prefixes: None for a prefix that is no piece
         self.trie: dict[str, float | None] = {}
         for piece, (_, score) in pieces.items():
@@ -42,11 +78,14 @@ class PieceCoder:
         self.text.update({i: bytes([b]) for b, i in enumerate(byte_ids)})
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.spans = None if crossing else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.cache_limit = cache_limit
+        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.cache = SpanCache(self, cache_limit)
+        self._compatible: dict[tuple[str, str], bool] = {}
+        self._halves: dict[str, tuple[str, str] | None] = {}
 
     @classmethod
-    def load(cls, path: str) -> PieceCoder:
+    def load(cls, path: str, kind: str | None = None) -> PieceCoder:
+        """Read a model file. The scores of a BPE model count its merges, 0, -1, -2 and so on."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -56,17 +95,74 @@ class PieceCoder:
                 byte_ids[int(model.id_to_piece(i)[1:-1], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 pieces[model.id_to_piece(i)] = (i, model.get_score(i))
-        return cls(pieces, byte_ids)
+        if kind is None:
+            kind = "bpe" if all(float(s).is_integer() for _, s in pieces.values()) else "unigram"
+        return cls(pieces, byte_ids, kind)
+
+    def merges(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """What repeated merging of the best, leftmost pair makes of a short text, and the last pair merged."""
+        parts, last = list(text), None
+        while True:
+            best = None
+            for k in range(len(parts) - 1):
+                score = self.scores.get(parts[k] + parts[k + 1])
+                if score is not None and (best is None or score > best[0]):
+                    best = (score, k)
+            if best is None:
+                return parts, last
+            k = best[1]
+            last = (parts[k], parts[k + 1])
+            parts[k : k + 2] = ["".join(last)]
+
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces merged last into a piece; None if merging never makes it."""
+        if piece not in self._halves:
+            parts, last = self.merges(piece)
+            self._halves[piece] = last if parts == [piece] else None
+        return self._halves[piece]
+
+    def compatible(self, a: str, b: str) -> bool:
+        """Whether merging leaves a and b next to each other as they are."""
+        known = self._compatible.get((a, b))
+        if known is None:
+            if len(self._compatible) > 2_000_000:
+                self._compatible.clear()
+            if (len(a) > 1 and self.halves(a) is None) or (len(b) > 1 and self.halves(b) is None):
+                known = False
+            elif a in self.tied or b in self.tied:
+                known = self.merges(a + b)[0] == [a, b]
+            else:
+                known = self._undo(a, b)
+            self._compatible[a, b] = known
+        return known
+
+    def _undo(self, a: str, b: str) -> bool:
+        scores = self.scores
+        left = right = float("-inf")  # scores of the merges that take a, and b, away from the border
+        while True:
+            across = scores.get(a + b)
+            # of equal merges the one further left comes first
+            if across is not None and across > left and across >= right:
+                return False
+            made_a = scores[a] if len(a) > 1 else None
+            made_b = scores[b] if len(b) > 1 else None
+            if made_a is None and made_b is None:
+                return True
+            if made_b is None or (made_a is not None and made_a < made_b):
+                left, a = made_a, self.halves(a)[1]
+            else:
+                right, b = made_b, self.halves(b)[0]
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of ``text`` in committed runs. A mark inside ``text`` stands for a space."""
-        trie, longest, unknown = self.trie, self.longest, self.unknown
+        trie, longest, unknown, bpe = self.trie, self.longest, self.unknown, self.kind == "bpe"
+        compatible, known = self.compatible, self._compatible
         n = len(text)
-        score: dict[int, float] = {0: 0.0}  # of boundaries in the window
+        state: dict = {0: "" if bpe else 0.0}  # of boundaries in the window: last piece, or score
         back: dict[int, int] = {}  # boundary -> the boundary before it, since the last commit
         committed, far, check = 0, 0, 2 * longest
         for i in range(n):
-            here = score.pop(i, None)
+            here = state.pop(i, None)
             if here is None:
                 continue
             if i == far and i > committed:  # no living path passes over i
@@ -74,7 +170,7 @@ class PieceCoder:
                 back.clear()
                 committed, check = i, i + 2 * longest
             elif i >= check:
-                shared = self._shared(back, committed, [k for k in score] + [i])
+                shared = self._shared(back, committed, [*state, i])
                 if shared > committed:
                     yield self._commit(text, back, committed, shared)
                     for k in [k for k in back if k <= shared]:
@@ -83,20 +179,28 @@ class PieceCoder:
                 check = i + longest
             end, single = i + 1, False
             while end <= n:
-                piece = trie.get(text[i:end], -1)
-                if piece == -1:
+                piece = text[i:end]
+                score = trie.get(piece, -1)
+                if score == -1 and piece not in trie:
                     break
-                if piece is not None:
-                    single = single or end == i + 1
-                    total = here + piece
-                    if end not in score or total > score[end]:
-                        score[end], back[end] = total, i
-                        far = max(far, end)
+                if score is not None:
+                    if end == i + 1:
+                        single = True
+                    if bpe:
+                        if end not in state and (i == 0 or known.get((here, piece)) or ((here, piece) not in known and compatible(here, piece))):
+                            if i or len(piece) == 1 or self.halves(piece) is not None:
+                                state[end], back[end] = piece, i
+                                far = max(far, end)
+                    else:
+                        total = here + score
+                        if end not in state or total > state[end]:
+                            state[end], back[end] = total, i
+                            far = max(far, end)
                 end += 1
             if not single:
-                total = here + unknown
-                if i + 1 not in score or total > score[i + 1]:
-                    score[i + 1], back[i + 1] = total, i
+                total = text[i] if bpe else here + unknown
+                if i + 1 not in state or (not bpe and total > state[i + 1]):
+                    state[i + 1], back[i + 1] = total, i
                     far = max(far, i + 1)
         if n > committed:
             yield self._commit(text, back, committed, n)
@@ -124,41 +228,37 @@ class PieceCoder:
                 out.extend(self.byte_ids[x] for x in text[a:b].encode())
         return out
 
-    def _span(self, span: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for run in self.stream(span):
-            out.extend(run)
-        return tuple(out)
+    def _span(self, span: str) -> bytes:
+        return np.array([i for run in self.stream(span) for i in run], dtype=np.int32).tobytes()
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text. An empty text has none. A literal mark in the text is
         written as bytes, so that decoding gives back exactly what was encoded."""
         if not text:
-            return []
-        if MARK in text:
-            parts = text.split(MARK)
-            out = list(self.encode(parts[0])) if parts[0] else list(self._pieces(MARK))
-            for part in parts[1:]:
-                out.extend(self.byte_ids[x] for x in MARK.encode())
-                if part:
-                    out.extend(self._pieces(part.replace(" ", MARK)))
-            return out
-        return self._pieces(MARK + text.replace(" ", MARK))
-
-    def _pieces(self, marked: str) -> list[int]:
+            return np.zeros(0, dtype=np.int32)
+        parts = text.split(MARK)
+        out = [self._pieces(MARK + parts[0].replace(" ", MARK))]
+        literal = np.array([self.byte_ids[x] for x in MARK.encode()], dtype=np.int32).tobytes()
+        for part in parts[1:]:
+            out.append(literal)
+            if part:
+                out.append(self._pieces(part.replace(" ", MARK)))
+        return np.frombuffer(b"".join(out), dtype=np.int32)
+
+    def _pieces(self, marked: str) -> bytes:
         if self.spans is None:
-            return [i for run in self.stream(marked) for i in run]
-        cache, out = self.cache, []
-        for span in self.spans.findall(marked):
-            ids = cache.get(span)
-            if ids is None:
-                ids = self._span(span)
-                if len(span) <= 48:
-                    if len(cache) >= self.cache_limit:
-                        cache.clear()
-                    cache[span] = ids
-            out.extend(ids)
-        return out
+            return self._span(marked)
+        return b"".join(map(self.cache.__getitem__, self.spans.findall(marked)))
+
+    def span_ids(self, span: str) -> bytes:
+        """Ids of a span. Where no piece holds two neighbouring characters every path has a
+        boundary, so the parts on either side are looked up by themselves."""
+        pairs = self.pairs
+        cuts = [k for k in range(1, len(span)) if span[k - 1 : k + 1] not in pairs]
+        if not cuts:
+            return self._span(span)
+        parts = [span[x:y] for x, y in zip([0, *cuts], [*cuts, len(span)], strict=True)]
+        return b"".join(map(self.cache.__getitem__, parts))
 
     def decode(self, ids) -> str:
         """The text that was encoded: the space of the first mark is dropped again."""
@@ -196,7 +296,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for begin in range(0, batch.num_rows, 256):
                 cut = batch.slice(begin, 256)
                 texts = cut.column("text").to_pylist()
-                ids = [np.array(tool.encode(t), dtype=np.int32) for t in texts]
+                ids = [tool.encode(t) for t in texts]
                 same = [tool.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
                 sizes = np.array([len(i) for i in ids], dtype=np.int64)
                 flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
