@@ -103,14 +103,18 @@ def exact_dedup(
     found = rows.join(winners.withColumnRenamed("order_key", "best"), keys, "inner")
     found = found.withColumn("wins", F.col("order_key") == F.col("best"))
     # rows repeated with the same id and text tie; the first of them stays
-    ties = found.where("wins").groupBy("sha").agg(F.count(F.lit(1)).alias("tied"), F.min("uid").alias("first_uid")).where("tied > 1")
-    found = found.join(ties, "sha", "left")
+    repeats = rows.groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("tied"), F.min("uid").alias("first_uid")).where("tied > 1")
+    repeats = saved(repeats.select(F.col("sha").alias("sha_"), F.col("doc_id").alias("id_"), "first_uid"))
+    if repeats.limit(1).count():
+        found = found.join(repeats, (F.col("sha") == F.col("sha_")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left")
+    else:
+        found = found.withColumn("first_uid", F.lit(None).cast("long"))
     low = F.col("best") % _wide(_ID_SPAN)
     return found.select(
         "doc_id",
         F.when(low < _wide(_NULL_ID), (low - _wide(_ID_ZERO)).cast("long")).alias("keep_id"),
         "group_size",
-        (F.col("wins") & (F.col("tied").isNull() | (F.col("uid") == F.col("first_uid")))).alias("kept"),
+        (F.col("wins") & (F.col("first_uid").isNull() | (F.col("uid") == F.col("first_uid")))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
