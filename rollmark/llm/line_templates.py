@@ -50,12 +50,12 @@ def _hash(text: str) -> int:
 
 
 def _lines(source: DataFrame, depth: int) -> DataFrame:
-    """key_id, text_hash, line, leaf, variant and number of tokens of every line with a token."""
+    """key_id, text_hash, line, leaf and variant of every line with a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in _slices(batch, "text"):
-                rows, numbers, leaves, variants, sizes = [], [], [], [], []
+                rows, numbers, leaves, variants = [], [], [], []
                 for i, text in enumerate(cut.column("text").to_pylist()):
                     for k, line in enumerate(text.split("\n")):
                         tokens = masked(line)
@@ -64,7 +64,6 @@ def _lines(source: DataFrame, depth: int) -> DataFrame:
                             numbers.append(k)
                             leaves.append(_hash(" ".join([str(len(tokens)), *tokens[:depth]])))
                             variants.append(_hash(" ".join(tokens)))
-                            sizes.append(len(tokens))
                 taken = pa.array(rows, pa.int64())
                 arrays = [
                     cut.column("key_id").take(taken),
@@ -72,20 +71,19 @@ def _lines(source: DataFrame, depth: int) -> DataFrame:
                     pa.array(numbers, pa.int32()),
                     _signed(np.array(leaves, dtype=np.uint64)),
                     _signed(np.array(variants, dtype=np.uint64)),
-                    pa.array(sizes, pa.int32()),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["key_id", "text_hash", "line", "leaf", "variant", "size"])
+                yield pa.RecordBatch.from_arrays(arrays, ["key_id", "text_hash", "line", "leaf", "variant"])
 
-    return source.mapInArrow(run, "key_id long, text_hash long, line int, leaf long, variant long, size int")
+    return source.mapInArrow(run, "key_id long, text_hash long, line int, leaf long, variant long")
 
 
 def _tokens(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """leaf, variant, docs, place and token of each token of the wanted lines."""
+    """leaf, variant, docs, place, token and size of the line for each token of the wanted lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in _slices(batch, "text"):
-                leaves, variants, docs, places, hashes = [], [], [], [], []
+                leaves, variants, docs, places, hashes, sizes = [], [], [], [], [], []
                 for text, found in zip(cut.column("text").to_pylist(), cut.column("found").to_pylist(), strict=True):
                     lines = text.split("\n")
                     for f in found:
@@ -96,15 +94,17 @@ def _tokens(source: DataFrame, wanted: DataFrame) -> DataFrame:
                         docs.append(np.full(n, f["docs"], dtype=np.int64))
                         places.append(np.arange(n, dtype=np.int32))
                         hashes.append(np.fromiter(map(_hash, tokens), dtype=np.uint64, count=n))
+                        sizes.append(np.full(n, n, dtype=np.int32))
                 if leaves:
                     arrays = [pa.array(np.concatenate(x)) for x in (leaves, variants, docs, places)]
-                    yield pa.RecordBatch.from_arrays([*arrays, _signed(np.concatenate(hashes))], ["leaf", "variant", "docs", "place", "token"])
+                    arrays += [_signed(np.concatenate(hashes)), pa.array(np.concatenate(sizes))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["leaf", "variant", "docs", "place", "token", "size"])
 
     grouped = wanted.groupBy("key_id", "text_hash").agg(F.collect_list(F.struct("line", "leaf", "variant", "docs")).alias("found"))
     return (
         source.join(grouped, ["key_id", "text_hash"])
-        .select("key_id", "text_hash", "text", "found")
-        .mapInArrow(run, "leaf long, variant long, docs long, place int, token long")
+        .select("doc_id", "key_id", "text_hash", "text", "found")
+        .mapInArrow(run, "leaf long, variant long, docs long, place int, token long, size int")
     )
 
 
@@ -127,25 +127,22 @@ def line_dedup(
     source = narrow(docs, id_col, text_col).select(
         "doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("key_id"), F.xxhash64("text").alias("text_hash"), "text"
     )
+    # the texts are one side of two joins below, with the same columns: Spark shuffles them once
     lines = saved(_lines(source.select("key_id", "text_hash", "text"), depth))
-    per_doc = lines.select("leaf", "variant", "key_id").distinct()
-    variants = saved(per_doc.groupBy("leaf", "variant").agg(F.count(F.lit(1)).alias("docs"), F.min("key_id").alias("first_id")))
+    # documents of each form of a line, and its first place
+    per_doc = lines.groupBy("leaf", "variant", "key_id").agg(F.min(F.struct("text_hash", "line")).alias("at"))
+    variants = saved(per_doc.groupBy("leaf", "variant").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("key_id", "at")).alias("place")))
     leaves = variants.groupBy("leaf").agg(F.sum("docs").alias("pairs"), F.count(F.lit(1)).alias("forms"))
     mixed = leaves.where((F.col("forms") > 1) & (F.col("pairs") >= min_docs)).select("leaf", "pairs")
 
-    # one line of each form in a mixed leaf gives its tokens; (key_id, line) of the lowest text hash
-    chosen = variants.join(mixed.select("leaf"), "leaf").select("leaf", "variant", "docs", F.col("first_id").alias("key_id"))
-    places = lines.join(chosen, ["leaf", "variant", "key_id"]).groupBy("leaf", "variant", "docs", "key_id").agg(
-        F.min("text_hash").alias("text_hash")
-    )
-    places = lines.join(places, ["leaf", "variant", "key_id", "text_hash"]).groupBy("leaf", "variant", "docs", "key_id", "text_hash").agg(
-        F.min("line").alias("line")
-    )
+    # one line of each form in a mixed leaf gives its tokens
+    places = variants.join(mixed.select("leaf"), "leaf").select("leaf", "variant", "docs", "place.key_id", "place.at.text_hash", "place.at.line")
     tokens = _tokens(source, places)
     fixed = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).join(mixed, "leaf").where("2 * support > pairs")
-    alike = tokens.join(fixed.select("leaf", "place", "token"), ["leaf", "place", "token"]).groupBy("leaf", "variant").agg(F.count(F.lit(1)).alias("same"))
-    sizes = lines.select("leaf", "variant", "size").distinct()
-    members = saved(alike.join(sizes, ["leaf", "variant"]).where(F.col("same") >= F.col("size") * F.lit(similarity)).select("leaf", "variant"))
+    alike = tokens.join(fixed.select("leaf", "place", "token"), ["leaf", "place", "token"]).groupBy("leaf", "variant").agg(
+        F.count(F.lit(1)).alias("same"), F.max("size").alias("size")
+    )
+    members = alike.where(F.col("same") >= F.col("size") * F.lit(similarity)).select("leaf", "variant")
     recurring = (
         lines.join(members, ["leaf", "variant"]).select("leaf", "key_id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
     ).where(F.col("docs") >= min_docs)
