@@ -212,7 +212,8 @@ def train(docs: DataFrame, text_col: str, lang_col: str, sample_docs: int = 600,
                     [pa.array([langs[doc[k]] for k in keep], pa.string()), pa.array([x[k].tobytes() for k in keep], pa.binary())], ["lang", "window"]
                 )
 
-    found = sorted((r["lang"], bytes(r["window"])) for r in rows.where(wanted).mapInArrow(cut, "lang string, window binary").collect())
+    # copies of a text share its hash: each distinct text counts once
+    found = sorted((r["lang"], bytes(r["window"])) for r in rows.where(wanted).distinct().mapInArrow(cut, "lang string, window binary").collect())
     if not found:
         return None
     x = np.frombuffer(b"".join(w for _, w in found), dtype=np.uint8).reshape(-1, WINDOW)
