@@ -166,7 +166,7 @@ tiers AS (SELECT component_id AS component, n, CASE WHEN n >= p75 THEN 'well_rep
 
 
 @query(f"""WITH {THRESHOLD_SQL} SELECT component, tier, CAST(n AS BIGINT) AS sample_size, r_name AS branch,
-CAST(CASE WHEN tier = 'sparse' THEN NULL ELSE (SELECT count(DISTINCT segment) FROM entities e WHERE e.component_id = component AND NOT contains(lower(segment), 'machin')) END AS BIGINT) AS n_patterns,
+CAST(CASE WHEN tier = 'sparse' THEN NULL ELSE (SELECT count(DISTINCT segment) FROM entities e WHERE e.component_id = component AND NOT (contains(lower(segment), 'machin') AND EXISTS (SELECT 1 FROM entities x WHERE x.component_id = e.component_id AND x.segment = 'BUILDING'))) END AS BIGINT) AS n_patterns,
 CAST(coalesce((SELECT count(DISTINCT comp_b) FROM edges WHERE comp_a = component), 0) AS BIGINT) AS n_rivals, CAST(0 AS BIGINT) AS n_errors
 FROM tiers JOIN nation ON n_name = component JOIN region ON n_regionkey = r_regionkey""")
 def resolver_artifact(t):
