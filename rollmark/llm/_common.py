@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package as ship
+from ..session import ship_package
+
+#: Most bytes of an Arrow batch on its way to a worker. Texts are long: the usual 64 MB, held by
+#: the executor and the worker and then as Python strings, would be too much for every core.
+BATCH_BYTES = 8 << 20
 
 #: One ASCII white-space character, and a run of anything else (a word).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -51,3 +60,39 @@ def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Id and text only, under fixed names; the Python code of this package goes to the workers."""
     ship(docs.sparkSession)
     return docs.select(quoted(id_col).cast("long").alias("doc_id"), text_or_empty(quoted(text_col)).alias("text"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Code for the workers, and batches of a size that suits long texts."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+#: What the workers of this process hold for each operator, and how to let go of it.
+_HELD: dict[str, Callable[[], None]] = {}
+_owner: list[str] = [""]
+
+
+def claim(owner: str, release: Callable[[], None]) -> None:
+    """Workers serve one operator after the other: let go of what the ones before have cached."""
+    if _owner[0] != owner:
+        for name, let_go in _HELD.items():
+            if name != owner:
+                let_go()
+        _owner[0] = owner
+        give_back()
+    _HELD[owner] = release
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of so many rows, so that few texts are Python strings at once."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)

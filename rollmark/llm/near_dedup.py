@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, narrow, saved
+from ._common import documents, narrow, parts, saved
 from .components import connected_components
 from .substring_dedup import Rolling, _signed, _slices, mix, word_hashes
 
@@ -167,20 +167,21 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFram
     """The pairs (a, b) whose texts (node, text) are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, Counter] = {}
         for batch in batches:
-            a_ids, b_ids, keep = batch.column("a"), batch.column("b"), []
-            known: dict[int, Counter] = {}
-            for a, ta, tb in zip(a_ids.to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                if a not in known:
-                    if len(known) > 64:
-                        known.clear()
-                    known[a] = Counter(shingle_hashes([ta], k)[0].tolist())
-                x, y = known[a], Counter(shingle_hashes([tb], k)[0].tolist())
-                both = (x & y).total()
-                union = x.total() + y.total() - both
-                keep.append(union == 0 or both >= least * union - 1e-9)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a_ids.filter(mask), b_ids.filter(mask)], ["a", "b"])
+            for cut in parts(batch, 64):
+                keep = []
+                for a, ta, tb in zip(*(cut.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
+                    if a not in known:
+                        if len(known) > 16:
+                            known.clear()
+                        known[a] = Counter(shingle_hashes([ta], k)[0].tolist())
+                    x, y = known[a], Counter(shingle_hashes([tb], k)[0].tolist())
+                    both = (x & y).total()
+                    union = x.total() + y.total() - both
+                    keep.append(union == 0 or both >= least * union - 1e-9)
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([cut.column("a").filter(mask), cut.column("b").filter(mask)], ["a", "b"])
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, narrow, saved
+from ._common import claim, documents, narrow, saved
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -45,7 +45,7 @@ class WordCache(dict):
     to the whole tokenizer.
     """
 
-    def __init__(self, tokenizer, limit: int = 600_000):
+    def __init__(self, tokenizer, limit: int = 300_000):
         super().__init__()
         self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
         self.kind = "<u2" if tokenizer.get_vocab_size() <= 65536 else "<u4"
@@ -148,6 +148,7 @@ def pack_documents(
         from pyspark import TaskContext
 
         part, at = TaskContext.get().partitionId(), 0
+        claim("packing", _CACHES.clear)
         cache = tokenizer_cache(tokenizer)
         end = np.array([end_id], dtype=cache.kind).tobytes()
         for batch in batches:

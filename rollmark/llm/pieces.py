@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import documents, narrow, quoted, ship
+from ._common import claim, documents, narrow, quoted, ship
 
 MARK = "▁"
 #: Added to the lowest piece score for a character outside the vocabulary.
@@ -291,6 +291,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = narrow(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pieces", _CODERS.clear)
         tool = coder(model)
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, narrow
+from ._common import claim, documents, narrow, parts
 from .substring_dedup import _slices
 
 BUCKETS = 1 << 14
@@ -126,7 +126,7 @@ class ShapeBuckets(dict):
     """Hash bucket of the shape of each word; a bounded number of words is kept."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 600_000:
+        if len(self) >= 200_000:
             self.clear()
         case = "U" if word.isupper() and len(word) > 1 else "T" if word[:1].isupper() else "l"
         shape = word
@@ -235,7 +235,8 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(labels, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, ["ids", "vals", "label"])
 
-    taken = source.where(spread < below).select("text").mapInArrow(sample, "ids array<int>, vals array<double>, label double")
+    # copies of a text share its hash: each distinct text counts once
+    taken = source.where(spread < below).select("text").distinct().mapInArrow(sample, "ids array<int>, vals array<double>, label double")
     rows = sorted((r["ids"], r["vals"], r["label"]) for r in taken.limit(sample_rows).collect())
     return QualityModel(posterior, *fit_scorer([(np.array(i, dtype=np.int64), np.array(v), y) for i, v, y in rows]))
 
@@ -261,6 +262,7 @@ def quality_classifier(
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = shared.value
+        claim("shapes", _SHAPES.clear)
         for batch in batches:
             for cut in _slices(batch, "text"):
                 judged = [tool.judge(t) for t in cut.column("text").to_pylist()]
@@ -281,9 +283,11 @@ def keep_good(docs: DataFrame, text_col: str = "text", sample_rows: int = 8000,
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = shared.value
+        claim("shapes", _SHAPES.clear)
         for batch in batches:
-            kept = [tool.judge(t or "")[1] >= least for t in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            for cut in parts(batch):
+                kept = [tool.judge(t or "")[1] >= least for t in cut.column(place).to_pylist()]
+                yield cut.filter(pa.array(kept, pa.bool_()))
 
     return plain.mapInArrow(judge, plain.schema).toDF(*docs.columns)
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_CLASS, documents, narrow, saved, ship, text_or_empty
+from ._common import WORD_CLASS, claim, documents, narrow, parts, saved, ship, text_or_empty
 
 WORD = re.compile(WORD_CLASS)
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -40,7 +40,7 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:
@@ -80,13 +80,14 @@ class Rolling:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and the number of words of each text."""
+    claim("words", _HASHES.clear)
     words = [WORD.findall(t) for t in texts]
     counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     flat = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(counts.sum()))
     return flat, counts
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded amount of text (or one row)."""
     sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     start, held = 0, 0
@@ -297,14 +298,15 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, found in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
-                if found:
-                    words, left = _kept_words(text, found, window)
-                    text = " ".join(left) if len(left) < len(words) else text
-                texts.append(text)
-            arrays = [pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+            for cut in parts(batch):
+                texts = []
+                for text, found in zip(cut.column(place).to_pylist(), cut.column(len(columns)).to_pylist(), strict=True):
+                    if found:
+                        words, left = _kept_words(text, found, window)
+                        text = " ".join(left) if len(left) < len(words) else text
+                    texts.append(text)
+                arrays = [pa.array(texts, pa.string()) if k == place else cut.column(k) for k in range(len(columns))]
+                yield pa.RecordBatch.from_arrays(arrays, columns)
 
     return joined.mapInArrow(clean, plain.schema).unionByName(plain.where(own_id.isNull())).toDF(*docs.columns)
 
