@@ -22,6 +22,7 @@ short spans are kept in a bounded cache.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,6 +35,10 @@ from ._common import claim, documents, narrow, quoted, ship
 MARK = "▁"
 #: Added to the lowest piece score for a character outside the vocabulary.
 UNKNOWN_PENALTY = -10.0
+#: Spans of up to so many characters are kept in the cache.
+SHORT = 48
+#: Numbers from here on stand for characters outside the vocabulary.
+UNKNOWN = 1 << 19
 
 
 class SpanCache(dict):
@@ -48,7 +53,7 @@ class SpanCache(dict):
         found = self.older.get(span)
         if found is None:
             found = self.coder.span_ids(span)
-        if len(span) <= 48:
+        if len(span) <= SHORT:
             if len(self) >= self.limit:
                 self.older = dict(self)
                 self.clear()
@@ -76,6 +81,12 @@ class PieceCoder:
             self.trie[piece] = score
         self.text = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()}
         self.text.update({i: bytes([b]) for b, i in enumerate(byte_ids)})
+        # the same for _short: pieces by number from 1, -1 for a prefix that is no piece
+        self.names = ["", *self.ids]
+        self.order = [0, *self.ids.values()]
+        number = {p: k for k, p in enumerate(self.names)}
+        self.places = {prefix: number.get(prefix, -1) if prefix in self.ids else -1 for prefix in self.trie}
+        self.neighbours: dict[int, bool] = {}
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.spans = None if crossing else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
@@ -229,8 +240,57 @@ class PieceCoder:
         return out
 
     def _span(self, span: str) -> bytes:
+        if self.kind == "bpe" and len(span) <= SHORT:
+            return self._short(span)
         return np.array([i for run in self.stream(span) for i in run], dtype=np.int32).tobytes()
 
+    def _short(self, span: str) -> bytes:
+        """The BPE pass of ``stream`` over a span that the window holds as a whole; pieces are numbers."""
+        n, places, neighbours = len(span), self.places, self.neighbours
+        last, back = [-1] * (n + 1), [0] * (n + 1)
+        for i in range(n):
+            here = last[i] << 21
+            end, single = i + 1, False
+            while end <= n:
+                piece = places.get(span[i:end])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    if end == i + 1:
+                        single = True
+                    if last[end] < 0:
+                        key = here | piece if i else piece
+                        fits = neighbours.get(key)
+                        if fits is None:
+                            fits = self._fits(key, last[i] if i else -1, piece)
+                        if fits:
+                            last[end], back[end] = piece, i
+                end += 1
+            if not single and last[i + 1] < 0:
+                last[i + 1], back[i + 1] = UNKNOWN + ord(span[i]), i
+        out, end = [], n
+        while end:
+            piece = last[end]
+            if piece < UNKNOWN:
+                out.append(self.order[piece])
+            else:
+                out.extend(self.byte_ids[x] for x in reversed(chr(piece - UNKNOWN).encode()))
+            end = back[end]
+        out.reverse()
+        return array("i", out).tobytes()
+
+    def _fits(self, key: int, before: int, piece: int) -> bool:
+        """Whether a piece may follow the one before it (-1: begins the span)."""
+        text = self.names[piece]
+        if before < 0:
+            fits = len(text) == 1 or self.halves(text) is not None
+        else:
+            fits = self.compatible(self.names[before] if before < UNKNOWN else chr(before - UNKNOWN), text)
+        if len(self.neighbours) > 2_000_000:
+            self.neighbours.clear()
+        self.neighbours[key] = fits
+        return fits
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text. An empty text has none. A literal mark in the text is
         written as bytes, so that decoding gives back exactly what was encoded."""
