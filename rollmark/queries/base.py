@@ -25,6 +25,14 @@ class Tables:
             F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"),
         )
 
+    def rated(self) -> DataFrame:
+        """The entities that the given SQL counts for thresholds."""
+        return self.entities().where("balance > 5000")
+
+    def earlier(self) -> DataFrame:
+        """The entities of the old registry in the given SQL."""
+        return self.entities().where("balance > 7000 AND component_id <> 'FRANCE'")
+
     def dims(self) -> DataFrame:
         """Designators: the nations and brands of a region, the segments of its customers, the sizes of
         cheap red widgets among its brands, and a post level that some regions have for themselves.
@@ -56,6 +64,18 @@ class Tables:
         return segment.unionByName(month).distinct()
 
 
+class Whole(Tables):
+    """The same roles without the conditions by which the given SQL leaves rows out."""
+
+    def rated(self) -> DataFrame:
+        return self.entities()
+
+    def earlier(self) -> DataFrame:
+        """The registry's earlier state: the entities with an order before July 1995."""
+        before = self.orders.where("o_orderdate < DATE '1995-07-01'").select(F.col("o_custkey").alias("soldier_id"))
+        return self.entities().join(before, "soldier_id", "left_semi")
+
+
 ENTITIES = """entities AS (
   SELECT c_custkey AS soldier_id, n_name AS component_id, r_name AS branch, c_mktsegment AS segment, c_acctbal AS balance
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey

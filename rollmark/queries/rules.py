@@ -148,7 +148,7 @@ def grouped_patterns(t):
 
 def _artifacts(t: Tables):
     entities = t.entities()
-    sized = thresholds.component_thresholds(entities.where("balance > 5000")).withColumnRenamed("component_id", "component")
+    sized = thresholds.component_thresholds(t.rated()).withColumnRenamed("component_id", "component")
     structure = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_name").alias("component"), F.col("r_name").alias("branch"), F.lit(2).alias("depth"), F.array(F.lit("nation"), F.lit("segment")).alias("levels")
     )

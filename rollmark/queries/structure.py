@@ -35,7 +35,7 @@ THRESHOLDS = f"""{ENTITIES}, counts AS (
 
 
 def _thresholds(t: Tables) -> DataFrame:
-    return thresholds.component_thresholds(t.entities().where("balance > 5000"))
+    return thresholds.component_thresholds(t.rated())
 
 
 @query(f"WITH {THRESHOLDS} SELECT component_id, CAST(n_entities AS BIGINT) AS n_entities, p25, median, p75, round(pct_of_median, 6) AS pct_of_median, tier FROM thresholds")
@@ -83,7 +83,7 @@ def registry_entries(t):
 SELECT component_id, CASE WHEN fresh THEN 'new' WHEN idx >= want THEN 'tier' WHEN size > 0 AND n_entities >= size THEN 'size' END AS reason
 FROM j WHERE fresh OR coalesce(idx >= want, false) OR coalesce(size > 0 AND n_entities >= size, false)""")
 def rebuild_candidates(t):
-    old = thresholds.component_thresholds(t.entities().where("balance > 7000 AND component_id <> 'FRANCE'"))
+    old = thresholds.component_thresholds(t.earlier())
     return thresholds.rebuild_candidates(_thresholds(t), thresholds.registry_entries(old))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import entities, rules, structure, text
+from .queries import entities, rules, structure, text, whole
 
-MODULES = (structure, text, entities, rules)
+MODULES = (structure, text, entities, rules, whole)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
