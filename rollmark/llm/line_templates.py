@@ -7,8 +7,8 @@ digit, an at sign or ``://``) stand for any value, so a line finds its leaf in c
 Within a leaf the template is generalised from all its lines at once, which makes it
 independent of their order: a position keeps its token if more than half of the leaf's
 (document, line variant) pairs have it there, else it is a variable field. A line belongs to the
-template if at least ``similarity`` of its tokens are the template's. Lines of one masked form
-are a template of their own.
+template if at least ``similarity`` of its tokens after the leading ones are the template's: the leading
+ones are those of the leaf and say nothing. Lines of one masked form are a template of their own.
 
 A template that recurs in at least ``min_docs`` documents is boilerplate: its lines are dropped
 everywhere. Token statistics are gathered only for leaves that several forms share and
@@ -77,8 +77,8 @@ def _lines(source: DataFrame, depth: int) -> DataFrame:
     return source.mapInArrow(run, "key_id long, text_hash long, line int, leaf long, variant long")
 
 
-def _tokens(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """leaf, variant, docs, place, token and size of the line for each token of the wanted lines."""
+def _tokens(source: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
+    """leaf, variant, docs, place, token for each token of the wanted lines after the leading ones, and the number of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +87,7 @@ def _tokens(source: DataFrame, wanted: DataFrame) -> DataFrame:
                 for text, found in zip(cut.column("text").to_pylist(), cut.column("found").to_pylist(), strict=True):
                     lines = text.split("\n")
                     for f in found:
-                        tokens = masked(lines[f["line"]])
+                        tokens = masked(lines[f["line"]])[depth:]
                         n = len(tokens)
                         leaves.append(np.full(n, f["leaf"], dtype=np.int64))
                         variants.append(np.full(n, f["variant"], dtype=np.int64))
@@ -137,7 +137,7 @@ def line_dedup(
 
     # one line of each form in a mixed leaf gives its tokens
     places = variants.join(mixed.select("leaf"), "leaf").select("leaf", "variant", "docs", "place.key_id", "place.at.text_hash", "place.at.line")
-    tokens = _tokens(source, places)
+    tokens = _tokens(source, places, depth)
     fixed = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).join(mixed, "leaf").where("2 * support > pairs")
     alike = tokens.join(fixed.select("leaf", "place", "token"), ["leaf", "place", "token"]).groupBy("leaf", "variant").agg(
         F.count(F.lit(1)).alias("same"), F.max("size").alias("size")
