@@ -10,6 +10,11 @@ independent of their order: a position keeps its token if more than half of the
 template if at least ``similarity`` of its tokens after the leading ones are the template's: the leading
 ones are those of the leaf and say nothing. Lines of one masked form are a template of their own.
 
+A leaf may hold several templates. Where the majority gives none, the leaf is split at the place of its most
+supported token, a part for each token there that enough pairs have and one for the rest, and each part
+is generalised alone. Tokens that a part was chosen by are not enough: one more must be fixed. Leaves
+in which a template was found are searched again without its lines, until no template is left.
+
 A template that recurs in at least ``min_docs`` documents is boilerplate: its lines are dropped
 everywhere. Token statistics are gathered only for leaves that several forms share and
 that occur in enough documents; everything is counted by map-side aggregates.
@@ -108,6 +113,55 @@ def _tokens(source: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
     )
 
 
+def _members(tokens: DataFrame, held: DataFrame, similarity: float, min_docs: int) -> list[DataFrame]:
+    """leaf and variant of the lines of recurring templates, for leaves of several forms.
+
+    ``tokens`` is what ``_tokens`` gives, ``held`` has leaf, variant and key_id of these leaves. A pass
+    looks for one template in each part of a leaf and splits the parts without one; the next takes
+    the leaves in which some were found again, without the lines found."""
+    group = ["leaf", "part"]
+    found = []
+    start = tokens.withColumns({"part": F.lit(0).cast("long"), "chosen": F.lit(0)})
+    while True:
+        level, hits = start, []
+        while True:
+            groups = level.where("place = 0").groupBy(*group).agg(F.sum("docs").alias("pairs"), F.count(F.lit(1)).alias("forms"))
+            groups = groups.where((F.col("forms") > 1) & (F.col("pairs") >= min_docs)).select(*group, "pairs")
+            support = saved(level.groupBy(*group, "place", "token").agg(F.sum("docs").alias("support")).where(F.col("support") > 1).join(groups, group))
+            fixed = support.where("2 * support > pairs").select(*group, "place", "token")
+            alike = level.join(fixed, [*group, "place", "token"]).groupBy(*group, "variant").agg(
+                F.count(F.lit(1)).alias("same"), F.max("size").alias("size"), F.max("chosen").alias("chosen"), F.max("docs").alias("docs")
+            )
+            members = alike.where((F.col("same") >= F.col("size") * F.lit(similarity)) & (F.col("same") > F.col("chosen")))
+            members = saved(members.select(*group, "variant", "docs"))
+            enough = members.groupBy(*group).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select(*group)
+            counted = held.join(members.join(enough, group).select(*group, "variant"), ["leaf", "variant"]).select(*group, "key_id").distinct()
+            recurring = saved(counted.groupBy(*group).agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select(*group))
+            if recurring.limit(1).count():
+                hits.append(saved(members.join(recurring, group).select("leaf", "variant")))
+            # the other parts are split at the place of their most supported token
+            minor = support.where((2 * F.col("support") <= F.col("pairs")) & (F.col("support") >= min_docs)).join(recurring, group, "left_anti")
+            at = saved(minor.groupBy(*group).agg(F.max_by("place", F.struct(F.col("support"), -F.col("place"))).alias("place")))
+            if not at.limit(1).count():
+                break
+            marks = minor.join(at, [*group, "place"]).select(*group, "place", "token", F.lit(1).alias("mark"))
+            sides = level.join(at, [*group, "place"]).join(marks, [*group, "place", "token"], "left")
+            sides = sides.select(
+                *group, "variant", F.xxhash64("part", "place", F.when(F.col("mark") == 1, F.col("token"))).alias("side"), F.coalesce("mark", F.lit(0)).alias("mark")
+            )
+            level = saved(
+                level.join(sides, [*group, "variant"]).select("leaf", "variant", "docs", "place", "token", "size", F.col("side").alias("part"), (F.col("chosen") + F.col("mark")).alias("chosen"))
+            )
+        if not hits:
+            return found
+        found += hits
+        gone = hits[0]
+        for more in hits[1:]:
+            gone = gone.unionByName(more)
+        rest = start.join(gone.select("leaf").distinct(), "leaf", "left_semi").join(gone, ["leaf", "variant"], "left_anti")
+        start = saved(rest)
+
+
 def line_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -137,18 +191,12 @@ def line_dedup(
 
     # one line of each form in a mixed leaf gives its tokens
     places = variants.join(mixed.select("leaf"), "leaf").select("leaf", "variant", "docs", "place.key_id", "place.at.text_hash", "place.at.line")
-    tokens = _tokens(source, places, depth)
-    fixed = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).join(mixed, "leaf").where("2 * support > pairs")
-    alike = tokens.join(fixed.select("leaf", "place", "token"), ["leaf", "place", "token"]).groupBy("leaf", "variant").agg(
-        F.count(F.lit(1)).alias("same"), F.max("size").alias("size")
-    )
-    members = alike.where(F.col("same") >= F.col("size") * F.lit(similarity)).select("leaf", "variant")
-    recurring = (
-        lines.join(members, ["leaf", "variant"]).select("leaf", "key_id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
-    ).where(F.col("docs") >= min_docs)
-    dropped = (
-        members.join(recurring.select("leaf"), "leaf").unionByName(variants.where(F.col("docs") >= min_docs).select("leaf", "variant")).distinct()
-    )
+    tokens = saved(_tokens(source, places, depth))
+    held = saved(per_doc.join(mixed.select("leaf"), "leaf").select("leaf", "variant", "key_id"))
+    dropped = variants.where(F.col("docs") >= min_docs).select("leaf", "variant")
+    for members in _members(tokens, held, similarity, min_docs):
+        dropped = dropped.unionByName(members)
+    dropped = dropped.distinct()
     hits = lines.join(dropped, ["leaf", "variant"]).groupBy("key_id", "text_hash").agg(F.collect_set("line").alias("gone"))
     joined = source.join(hits, ["key_id", "text_hash"], "left").select("doc_id", "text", "gone")
 

@@ -1,5 +1,7 @@
 """Which lines belong to a template."""
 
+import pytest
+
 from rollmark.llm import line_templates
 
 
@@ -16,3 +18,17 @@ def test_leading_tokens_make_no_member(spark):
 def test_template_with_a_free_word_goes(spark):
     texts = [f"Was erlytion that. {a}" for a in ("Are for.", "Upon us.")] + [f"Share this page with {w} now" for w in ("ann", "bob", "cem", "dee", "eve")]
     assert kept(spark, texts) == {0: texts[0], 1: texts[1]} | dict.fromkeys(range(2, 7), "")
+
+
+@pytest.mark.parametrize("sizes", [(60, 40), (40, 40), (30, 30, 30, 8), (200, 6)])
+def test_every_template_of_a_leaf_goes(spark, sizes):
+    ends = ["share this page by mail or {} today", "sign up here and get {} free each", "more news about the town of {} below", "all old posts with a tag {} above"]
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    texts = [f"Click to read, {ends[k].format(word(100 * k + i))}" for k, n in enumerate(sizes) for i in range(n)]
+    alone = ["Click to read, " + " ".join(f"{a}{word(i)}" for i in range(7)) for a in "xyz"]
+    assert list(kept(spark, texts + alone).values()).count("") == len(texts)
+
+
+def test_lines_that_share_only_the_token_of_their_part_stay(spark):
+    texts = [f"Was erlytion that. {a} {word}" for a in ("Of", "And", "The") for word in (f"{a}{c}{c}" for c in "abcdef")]
+    assert kept(spark, texts) == dict(enumerate(texts))
