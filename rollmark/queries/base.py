@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 
 class Tables:
+    #: The parts that give sizes and the orders that give designators in the given SQL.
+    cheap, largest = "p_type = 'ECONOMY' AND p_name = 'red widget'", "o_totalprice > 400000"
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
@@ -45,7 +48,7 @@ class Tables:
         segment = self.customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
         number = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
         brand = self.part.join(region, F.floor((number - 1) / 5) == F.col("r_regionkey"))
-        widget = brand.where("p_type = 'ECONOMY' AND p_name = 'red widget'")
+        widget = brand.where(self.cheap)
         post = brand.where("r_name LIKE '%A'")
         return (
             nation.select(*level(0, F.lit("nation"), F.col("n_name")))
@@ -58,7 +61,7 @@ class Tables:
 
     def component_designators(self) -> DataFrame:
         """component (nation), level, value: segments and priorities of its largest orders."""
-        rows = self.orders.where("o_totalprice > 400000").join(self.entities(), F.col("o_custkey") == F.col("soldier_id"))
+        rows = self.orders.where(self.largest).join(self.entities(), F.col("o_custkey") == F.col("soldier_id"))
         segment = rows.select(F.col("component_id").alias("component"), F.lit("segment").alias("level"), F.col("segment").alias("value"))
         month = rows.select(F.col("component_id").alias("component"), F.lit("month").alias("level"), F.date_format("o_orderdate", "yyyy-MM").alias("value"))
         return segment.unionByName(month).distinct()
@@ -67,6 +70,8 @@ class Tables:
 class Whole(Tables):
     """The same roles without the conditions by which the given SQL leaves rows out."""
 
+    cheap = largest = "true"
+
     def rated(self) -> DataFrame:
         return self.entities()
 

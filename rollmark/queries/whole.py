@@ -6,7 +6,7 @@ the queries that are compared with it stay as they are.
 
 from __future__ import annotations
 
-from . import rules, structure
+from . import entities, rules, structure
 from .base import Whole
 
 QUERIES: dict = {}
@@ -16,10 +16,18 @@ ORACLES: dict[str, str] = {}
 CONDITIONS = {
     " WHERE balance > 5000": "",
     "balance > 7000 AND component_id <> 'FRANCE'": "soldier_id IN (SELECT o_custkey FROM orders WHERE o_orderdate < DATE '1995-07-01')",
+    " WHERE o_totalprice > 400000": "",
+    " WHERE p_type = 'ECONOMY' AND p_name = 'red widget'": "",
 }
 NAMES = {
-    structure: ("component_thresholds", "tier_histogram", "registry_entries", "rebuild_candidates"),
-    rules: ("resolver_artifact",),
+    structure: (
+        "component_thresholds", "tier_histogram", "registry_entries", "rebuild_candidates",
+        "component_collisions", "collision_pairs", "component_rivals", "pair_collision_levels", "merged_collision_index", "collision_index",
+        "level_discriminators", "designator_discriminators", "depth_discriminators", "branch_discriminators", "exclusion_rules",
+        "peer_exclusions", "invalid_designators", "unique_designators", "valid_designators", "glossary_terms",
+    ),
+    entities: ("inferred_difficulty", "collision_samples"),
+    rules: ("resolver_artifact", "generated_artifacts", "synthetic_records", "synthetic_states", "roster_stats"),
 }
 
 
