@@ -1,8 +1,7 @@
-"""Substring deduplication by level-wise doubling.
+"""Substring deduplication by minimum-hash anchors, their contexts and one refinement.
 
 A passage of ``window`` words that starts in an earlier document is removed from every later
-one. Windows are compared at growing lengths, and only what repeats at one length alone is
-looked at again at about twice that length:
+one. These steps replace the levels of a doubling method; there is no loop over lengths:
 
 1. ``window / 2`` words. Of the half windows inside each window the one with the smallest
    hash is its anchor, so equal windows have equal anchors and an anchor is stored once for
