@@ -249,23 +249,24 @@ def near_dedup(
     Words are compared unchanged. Texts without words (null and empty ones) are alike. A text of
     fewer than ``k`` words is one shingle. Rows with a null id form no classes: each is returned
     with class_id null, class_size 1 and kept. Rows repeated with one id are one document; all of
-    them carry its class, and they count once. Ties are broken by the smallest id. An empty
+    them carry its class, which joins the classes of all its texts, and they count once. Ties are broken by the smallest id. An empty
     table gives an empty result; other columns are ignored.
     """
     source = narrow(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     known = source.where("doc_id IS NOT NULL")
     sketches = saved(sketch(known, k, bands, rows))
-    # documents with equal multisets are one representative, the smallest of their ids
-    reps = saved(sketches.groupBy("print1", "print2", "total").agg(F.min("doc_id").alias("node")))
-    members = saved(sketches.join(reps, ["print1", "print2", "total"]).select("doc_id", "text_hash", "node"))
-    # one row for each representative (an id repeated with several texts gives one for each text)
-    own = sketches.join(reps.withColumnRenamed("node", "doc_id"), ["print1", "print2", "total", "doc_id"])
-    own = own.dropDuplicates(["doc_id", "text_hash"]).withColumnRenamed("doc_id", "node")
+    # a node is a multiset, whichever ids have it; its representative is the text of the smallest of these
+    sketches = sketches.withColumn("node", F.xxhash64("print1", "print2", "total"))
+    members = sketches.select("doc_id", "text_hash", "node")
+    reps = saved(members.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at")).select("node", "at.doc_id", "at.text_hash"))
+    own = sketches.join(reps, ["node", "doc_id", "text_hash"]).dropDuplicates(["node", "doc_id", "text_hash"])
     entries = own.select("node", "total", F.explode("keys").alias("key"))
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = saved(entries.join(buckets, "key").select("key", "node", "total", "n"))
     central = saved(shared.groupBy("node").agg(F.sum("n").alias("company"), F.min("total").alias("total")))
-    texts = saved(known.join(central.select(F.col("node").alias("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node"))
+    wanted = reps.join(central.select("node"), "node")
+    texts = known.join(wanted, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(F.min("text").alias("text"), F.min("node").alias("node"))
+    texts = saved(texts.select("node", "text"))
 
     # round 1: each document with the hub of its fullest bucket
     ranked = shared.select("key", "node", "n").join(central.select("node", "company"), "node")
@@ -298,13 +299,15 @@ def near_dedup(
     both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = saved(pairs.join(both_ways, ["a", "b"], "left_anti"))
     more = saved(verify(pairs, texts, k, least))
-    labels = connected_components(links.unionByName(more))
-
-    classed = members.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
-    # an id repeated with different texts belongs to the smallest of their classes
-    one = classed.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    sizes = saved(one.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).where("class_size > 1"))
-    out = source.select("doc_id").join(one, "doc_id", "left").join(sizes, "class_id", "left")
+    # the texts of an id are one document
+    several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("doc_id", "a")
+    same = members.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    labels = connected_components(links.unionByName(more).unionByName(same))
+
+    classed = members.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+    one = saved(classed.groupBy("doc_id").agg(F.min("label").alias("label")))
+    sizes = saved(one.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1"))
+    out = source.select("doc_id").join(one, "doc_id", "left").join(sizes, "label", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return out.select(
         "doc_id",
         "class_id",
