@@ -35,14 +35,40 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 
 
+class SafeCharacters(dict):
+    """Whether a character may be split and lower-cased here as the tokenizer does it.
+
+    Each character is tried once on the tokenizer itself, as the two may follow different versions of
+    Unicode. Marks and conjoining letters, which join with what stands before them, never may, nor
+    the sigma, whose lower case depends on what follows.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.normalise = tokenizer.normalizer.normalize_str
+        self.split = tokenizer.pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, c: str) -> bool:
+        low, kind = c.lower(), unicodedata.category(c)
+        if c == "Σ" or kind[0] in "MC" or "\u1100" <= c <= "\u11ff" or "\ud7b0" <= c <= "\ud7fb":
+            safe = False
+        elif c.isalpha():
+            safe = len(low) == 1 and low.isalpha() and self.normalise(c) == low and len(self.split("a" + low)) == 1
+        else:
+            pieces = self.split(f"a{c}a")
+            safe = self.normalise(c) in (c, " ") and len(pieces) > 1 and pieces[0][1][1] == 1 and pieces[-1][1][0] == 1 + len(c)
+        self[c] = safe
+        return safe
+
+
 class WordCache(dict):
-    """The ids of white-space separated words, packed as bytes; up to ``limit`` words are kept, and as
-    many of those before them.
+    """The ids of white-space separated words, packed as bytes; up to ``limit`` words are kept, and
+    as many of those before them.
 
     A new word is put together from its runs of letters and of other characters, which repeat
-    far more often than whole words. Runs of letters go to the byte-level model directly, others,
-    words with an apostrophe (its contractions hold letters) and words not in composed form
-    to the whole tokenizer.
+    far more often than whole words. Runs of letters go to the byte-level model directly, others
+    to the whole tokenizer. So do words as a whole that hold an apostrophe (the tokenizer's contractions
+    hold letters), an added token's string, or a character that is not safe.
     """
 
     def __init__(self, tokenizer, limit: int = 300_000):
@@ -57,7 +83,11 @@ class WordCache(dict):
         state = json.loads(tokenizer.to_str())
         kinds = [x["type"] for x in (state.get("normalizer") or {}).get("normalizers", [])]
         splits = [x["type"] for x in (state.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        added = [x["content"] for x in state.get("added_tokens") or []]
         self.short_cuts = kinds == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"]
+        self.by_words = not any(c.isspace() for x in added for c in x)
+        self.apart = re.compile("|".join(["'", *(re.escape(x) for x in added if x)]), re.IGNORECASE)
+        self.safe = SafeCharacters(tokenizer) if self.short_cuts else {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
@@ -67,7 +97,7 @@ class WordCache(dict):
         if found is None:
             if not word:
                 found = b""
-            elif self.short_cuts and "'" not in word and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            elif self.short_cuts and not self.apart.search(word) and (word.isascii() and word.isprintable() or all(map(self.safe.__getitem__, word))):
                 get, run = self.runs.get, self._run
                 found = b"".join([get(r) or run(r) for r in RUNS.findall(word)])
             else:
@@ -79,8 +109,8 @@ class WordCache(dict):
         return array(self.pack, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _run(self, run: str) -> bytes:
-        low = run.lower()
-        if run.isalpha() and (run.isascii() or (low.isalpha() and "Σ" not in run)):
+        if run.isalpha():
+            low = run.lower()
             if not low.isascii():
                 low = "".join(map(self.bytes.__getitem__, low.encode()))
             found = array(self.pack, [t.id for t in self.model.tokenize(low)]).tobytes()
@@ -115,14 +145,15 @@ def tokenizer_cache(name: str) -> WordCache:
             import public_tokenizers
 
             path = public_tokenizers.path(name)
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _CACHES[name] = WordCache(tokenizer)
+        _CACHES[name] = WordCache(Tokenizer.from_file(path))
     return _CACHES[name]
 
 
 def encode_texts(texts: list[str], cache: WordCache) -> list[bytes]:
-    """Ids of whole texts. The vocabulary drops white space, so words are encoded one by one."""
+    """Ids of whole texts, as ``encode(text, add_special_tokens=False)`` gives them. The vocabulary
+    drops white space, so words are encoded one by one."""
+    if not cache.by_words:
+        return [cache._whole(t) for t in texts]
     return [b"".join(map(cache.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
 
@@ -138,7 +169,8 @@ def pack_documents(
     """One row per piece of a document: id, start in the document, length, CRC-32 of its ids,
     tokens of the document, sequence and offset in the sequence; ``with_ids`` adds the ids.
 
-    Each document is its ids followed by ``end_id``. A null or empty text is the end id alone.
+    Each document is its ids followed by ``end_id``; the string of a special token in a text gives the
+    id of that token, as the tokenizer does by default. A null or empty text is the end id alone.
     Null ids and repeated rows are documents like any other. An empty table gives no pieces.
     Columns other than id and text are ignored. ``tokenizer`` must drop white space.
     """

@@ -91,7 +91,6 @@ def test_packing_cuts_whole_documents(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     texts = [" ".join(words(n, n)) for n in (0, 1, 5, 3000, 7, 900)] + ["it's éa 12½ <|endoftext|>! İ ẞ", "q̃́ é"]
     rows = packing.pack_documents(docs_of(spark, texts), length=256, with_ids=True).collect()
     for i, text in enumerate(texts):
@@ -106,6 +105,25 @@ def test_packing_cuts_whole_documents(spark):
     assert all(n == 256 for s, n in filled.items() if s != max(filled))
 
 
+def test_ids_of_any_text_are_the_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    cache = packing.tokenizer_cache("word_bpe_49k.json")
+    r = random.Random(11)
+    odd = "İıẞßΣςσ½Ⅷ²ªµK\u212b\u0301\u0307\u0345\u1161\u11a8가ᄀ日😀'’-_.,!<|>\t\n\r\x0b\x1c\x85\xa0\u2028\u200d\ufeff\U000142eb\U000139b2\U00014923"
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "'s", "'LL", "'ſ", "the", "Straße", "a" * 30]
+    anywhere = lambda: chr(r.choice([r.randrange(0x80), r.randrange(0x250), r.randrange(0xD800), r.randrange(0xE000, 0x30000), r.randrange(0x110000 - 0xE000) + 0xE000]))
+    texts = ["İ!", "a <|endoftext|> b", "a<|endoftext|>b <|startoftext|>İ", "Ὀδυσσεύς ΟΔΥΣΣΕΎΣ"]
+    for _ in range(20_000):
+        parts = [r.choice([lambda: r.choice(odd), lambda: r.choice(marks), anywhere, lambda: r.choice("abcXYZ12 "), lambda: " "])() for _ in range(r.randrange(1, 14))]
+        texts.append("".join(parts))
+    got = packing.encode_texts(texts, cache)
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, cache.kind).tolist() == plain.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 # ---- rules ----
 
 
