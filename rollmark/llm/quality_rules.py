@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Each rule is a share measured on the whole text; a document whose share is above the rule's
-cutoff is rejected. Cutoffs come from labelled rows held out for this: for every stratum,
-rule and cutoff of a fixed grid, the exact binomial tail tells how likely as few false
-rejections would be if the true rate were above the allowed one. A cutoff is certified if
-that probability is at most ``delta`` divided by the number of tests (Bonferroni over strata,
-rules and grid). The strictest certified cutoff of a rule is used; without one the rule is
-off in that stratum. By the union bound, with probability ``1 - delta`` no stratum loses more
-than ``risk`` of its good documents to all rules together.
+cutoff is rejected. Cutoffs are tightened together, along a fixed ladder from lax to strict
+that is chosen before any label is seen. For every stratum and step, labelled good rows held out for
+this tell how many good documents the rules together reject; the step is certified if the exact
+binomial tail, the probability of so few rejections were the true rate above ``risk``, is at
+most ``delta`` divided by the number of strata (Bonferroni). The steps are tested in order and the
+first failure ends the sequence, so they need no correction among themselves. The last
+certified step gives the cutoffs; without one the rules are off in that stratum. With probability
+``1 - delta`` no stratum loses more than ``risk`` of its good documents to all rules together.
 """
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ from pyspark.sql import functions as F
 
 from ._common import WORD_CLASS, documents, quoted, saved, text_or_empty
 
-#: Cutoffs of each rule, from lax to strict. All are shares between 0 and 1.
-GRID = (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.02)
-RULES = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "long_word_share")
+#: Steps of the ladder, and the strictest cutoff of each rule; all rules start at LAX. The last steps are
+#: those of published rules for repeated lines and repeated three-word windows, rounded.
+STEPS, LAX = 16, 0.9
+STRICT = {"symbol_share": 0.02, "dup_line_share": 0.3, "repeat_share": 0.2, "upper_share": 0.2, "long_word_share": 0.05}
+RULES = tuple(STRICT)
+#: The ladder of each rule: equal ratios between steps.
+LADDERS = {r: tuple(round(LAX * (low / LAX) ** (i / (STEPS - 1)), 4) for i in range(STEPS)) for r, low in STRICT.items()}
 #: Strata with cutoffs that may be broadcast; beyond that the join is shuffled.
 BROADCAST_STRATA = 10_000
 
@@ -113,18 +118,25 @@ def log_binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(k >= 1, folded).otherwise(first)
 
 
-def certified_cutoffs(held: DataFrame, risk: float, delta: float) -> DataFrame:
-    """stratum, rule, cutoff: the strictest certified cutoff. ``held`` has the shares of good rows."""
-    strata = held.select("stratum").distinct().count()
-    tests = max(1, strata * len(RULES) * len(GRID))
-    each = risk / len(RULES)
-    rejected = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(GRID)]
-    counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *rejected)
-    rows = [F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r in RULES for i, c in enumerate(GRID)]
-    long = counts.select("stratum", "n", F.inline(F.array(*rows)))
-    # a tail at or above its middle cannot be small: no need to add up its terms
-    tail = F.when(F.col("k") < F.col("n") * each, log_binomial_tail(F.col("n"), F.col("k"), each)).otherwise(0.0)
-    return long.where(tail <= math.log(delta / tests)).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+def certified_steps(held: DataFrame, risk: float, delta: float) -> DataFrame:
+    """stratum, n (good rows), step: the last certified step of the ladder. ``held`` has the shares of good
+    rows. Strata without a certified step are left out."""
+    strata = max(1, held.select("stratum").distinct().count())
+    # the first step at which a rule rejects the row; STEPS if it never does
+    def stays(rule: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, LADDERS[rule])), lambda c: c >= F.col(rule)))
+
+    first = held.select("stratum", F.least(*map(stays, RULES)).alias("first"))
+    rejected = [F.sum((F.col("first") <= i).cast("long")) for i in range(STEPS)]
+    counts = first.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.array(*rejected).alias("ks"))
+
+    def fails(k: Column) -> Column:
+        # a tail at or above its middle cannot be small: no need to add up its terms
+        tail = F.when(k < F.col("n") * risk, log_binomial_tail(F.col("n"), k, risk)).otherwise(0.0)
+        return tail > math.log(delta / strata)
+
+    failed = F.filter(F.transform("ks", lambda k, i: F.when(fails(k), i)), lambda i: i.isNotNull())
+    return counts.select("stratum", "n", (F.coalesce(F.array_min(failed), F.lit(STEPS)) - 1).alias("step")).where("step >= 0")
 
 
 def quality_rules(
@@ -142,16 +154,15 @@ def quality_rules(
     ``labels`` has the id and ``good_col`` (1: good). Strata default to the column ``lang``.
     Null texts have no words and fail the base; a null stratum is a stratum of its own. Rows
     with a null id are measured and judged, but never matched with a label. Of an id labelled
-    more than once, a good label counts. Rows without labels for their stratum are judged by
-    the base alone. An empty table gives an empty result; other columns are ignored.
+    more than once, a good label counts. Strata in which no step is certified are judged by
+    the base alone; without a rejection it takes ``log(delta / strata) / log(1 - risk)`` good rows. An empty table gives an empty result; other columns are ignored.
     """
     stratum = quoted("lang") if stratum is None else stratum
     measured = saved(measures(docs, id_col, text_col, stratum))
     good = labels.where(quoted(good_col) == 1).select(quoted(id_col).cast("long").alias("doc_id")).distinct()
     held = measured.where("NOT base_failed").join(good, "doc_id", "left_semi")
-    cutoffs = saved(
-        certified_cutoffs(held, risk, delta).groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in RULES])
-    )
+    steps = certified_steps(held, risk, delta)
+    cutoffs = saved(steps.select("stratum", *[F.element_at(F.array(*map(F.lit, LADDERS[r])), F.col("step") + 1).alias(f"{r}_cutoff") for r in RULES]))
     if cutoffs.count() <= BROADCAST_STRATA:
         cutoffs = F.broadcast(cutoffs)
     failed = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"{r}_cutoff"), F.lit(r)) for r in RULES]))
@@ -198,20 +209,24 @@ WITH d AS (
          least(coalesce(n_long / nullif(n_words, 0), 0), 1) AS long_word_share
   FROM m
 ), held AS (
-  SELECT stratum, rule, share FROM (SELECT * FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
-  UNPIVOT (share FOR rule IN ({", ".join(RULES)}))
-), grid(cutoff) AS (
-  VALUES {", ".join(f"(CAST({c} AS DOUBLE))" for c in GRID)}
+  SELECT * FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+), ladder(step, {", ".join(RULES)}) AS (
+  VALUES {", ".join("(" + ", ".join([str(i), *(f"CAST({LADDERS[r][i]} AS DOUBLE)" for r in RULES)]) + ")" for i in range(STEPS))}
 ), counts AS (
-  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (share > cutoff) AS k FROM held, grid GROUP BY stratum, rule, cutoff
+  SELECT h.stratum, l.step, count(*) AS n, count(*) FILTER ({" OR ".join(f"h.{r} > l.{r}" for r in RULES)}) AS k
+  FROM held h, ladder l GROUP BY h.stratum, l.step
+), tested AS (
+  SELECT stratum, step, k < n * {_RISK} AND (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_RISK}) + (n - j) * ln(1 - {_RISK}))) FROM unnest(generate_series(0, k)) AS g(j)
+  ) <= {_DELTA} / (SELECT count(DISTINCT stratum) FROM held) AS passed FROM counts
 ), certified AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM counts
-  WHERE k < n * {_RISK / len(RULES)!r} AND (
-    SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_RISK / len(RULES)!r}) + (n - j) * ln(1 - {_RISK / len(RULES)!r}))) FROM unnest(generate_series(0, k)) AS g(j)
-  ) <= {_DELTA} / ((SELECT count(DISTINCT stratum) FROM held) * {len(RULES) * len(GRID)})
-  GROUP BY stratum, rule
+  SELECT stratum, max(step) AS step FROM tested t
+  WHERE NOT EXISTS (SELECT 1 FROM tested u WHERE u.stratum = t.stratum AND u.step <= t.step AND NOT u.passed) GROUP BY stratum
+), cutoffs AS (
+  SELECT c.stratum, l.* FROM certified c JOIN ladder l USING (step)
 ), judged AS (
-  SELECT s.*, array_to_string(list_filter([{", ".join(f"CASE WHEN s.{r} > (SELECT cutoff FROM certified c WHERE c.stratum = s.stratum AND c.rule = '{r}') THEN '{r}' END" for r in RULES)}], lambda x: x IS NOT NULL), ',') AS failed_rules FROM s
+  SELECT s.*, array_to_string(list_filter([{", ".join(f"CASE WHEN s.{r} > c.{r} THEN '{r}' END" for r in RULES)}], lambda x: x IS NOT NULL), ',') AS failed_rules
+  FROM s LEFT JOIN cutoffs c USING (stratum)
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_chars AS BIGINT) AS n_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,

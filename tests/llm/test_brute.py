@@ -135,15 +135,52 @@ def test_binomial_tail(spark):
         assert math.exp(r["t"]) == pytest.approx(wanted, rel=1e-9)
 
 
-def test_cutoffs_are_certified(spark):
-    rows = [("a", 0.9 if i < 3 else 0.01) for i in range(20_000)] + [("b", 0.0) for _ in range(50)]
-    frame = spark.createDataFrame(rows, "stratum string, v double")
-    held = frame.select("stratum", *[(F.col("v") if rule == "symbol_share" else F.lit(0.0)).alias(rule) for rule in quality_rules.RULES])
-    found = {(r["stratum"], r["rule"]): r["cutoff"] for r in quality_rules.certified_cutoffs(held, 0.01, 0.05).collect()}
-    assert found["a", "symbol_share"] == 0.02 and not any(s == "b" for s, _ in found)
-    many = held.withColumn("symbol_share", F.when(F.rand(1) < 0.05, 0.5).otherwise(0.0))
-    found = {(r["stratum"], r["rule"]): r["cutoff"] for r in quality_rules.certified_cutoffs(many, 0.01, 0.05).collect()}
-    assert found["a", "symbol_share"] == 0.5
+def certified_by_hand(shares, risk, level):
+    """The last step of the ladder before the first that fails; -1 if that is the first."""
+    n, found = len(shares), -1
+    for step in range(quality_rules.STEPS):
+        k = sum(any(s[r] > quality_rules.LADDERS[r][step] for r in quality_rules.RULES) for s in shares)
+        if sum(math.comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1)) > level:
+            return found
+        found = step
+    return found
+
+
+def test_steps_are_certified(spark):
+    r = random.Random(6)
+    rows = []
+    for stratum, n, odd, share in (("a", 2000, 2, 0.9), ("b", 500, 0, 0.0), ("c", 430, 0, 0.0), ("d", 3000, 200, 0.5), ("e", 5, 0, 0.0), ("f", 1500, 9, 0.31)):
+        rows += [(stratum, *(share if i < odd and k == i % 5 else r.random() * 0.01 for k in range(5))) for i in range(n)]
+    held = spark.createDataFrame(rows, "stratum string, " + ", ".join(f"{x} double" for x in quality_rules.RULES))
+    found = {x["stratum"]: x["step"] for x in quality_rules.certified_steps(held, 0.01, 0.05).collect()}
+    wanted = {s: certified_by_hand([dict(zip(quality_rules.RULES, x[1:], strict=True)) for x in rows if x[0] == s], 0.01, 0.05 / 6) for s in "abcdef"}
+    assert found == {s: step for s, step in wanted.items() if step >= 0}
+    assert found["a"] == quality_rules.STEPS - 1 and found["b"] == quality_rules.STEPS - 1 and 0 < found["d"] < quality_rules.STEPS - 1 and "c" not in found and "e" not in found
+
+
+def test_certified_rules_reject(spark):
+    """Two strata with certified cutoffs and one without, against the SQL."""
+    import duckdb
+
+    r, docs, labels = random.Random(3), [], []
+    for lang, n in (("en", 700), ("de", 600), ("fr", 300)):
+        for i in range(n):
+            parts = words(60, (lang, i).__repr__(), 5000)
+            if i % 10 == 0:
+                parts = [w + r.choice(["###", "||||", "$$"]) for w in parts]
+            docs.append((len(docs), "\n".join(" ".join(parts[k : k + 6]) for k in range(0, 60, 6)), lang))
+            labels.append((docs[-1][0], int(i % 10 != 0), 0))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    frame = quality_rules.quality_rules(docs, labels)
+    rows = frame.collect()
+    gone = {x["doc_id"] for x in rows if x["failed_rules"]}
+    assert gone == {i for i in range(1300) if (i if i < 700 else i - 700) % 10 == 0} and all("symbol_share" in x["failed_rules"] and not x["kept"] for x in rows if x["doc_id"] in gone)
+    connection = duckdb.connect()
+    connection.register("documents", docs.toPandas())
+    connection.register("labels", labels.toPandas())
+    columns = sorted(frame.columns)
+    wanted = connection.sql(quality_rules.ORACLE).select(*columns).fetchall()
+    assert sorted(tuple(str(x[c]) for c in columns) for x in rows) == sorted(tuple(map(str, x)) for x in wanted)
 
 
 def test_repeated_windows(spark):
