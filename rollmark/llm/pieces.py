@@ -16,7 +16,7 @@ Two kinds of models differ in what makes a path survive at a boundary:
 
 Where no piece of the vocabulary crosses from a character into a following word mark, every
 path has a boundary there, so the spans between such places are independent and the ids of
-short spans are kept in a bounded cache.
+short spans, once the streaming pass has committed them, are kept in a bounded cache.
 """
 
 from __future__ import annotations
@@ -73,19 +73,16 @@ class PieceCoder:
         self.scores = {p: s for p, (_, s) in pieces.items()}
         counts = Counter(self.scores.values())
         self.tied = {p for p, s in self.scores.items() if counts[s] > 1 and len(p) > 1}
-        # a trie as one dictionary of prefixes: None for a prefix that is no piece
-        self.trie: dict[str, float | None] = {}
-        for piece, (_, score) in pieces.items():
+        # a trie as one dictionary: the number of a piece, from 1; -1 for a prefix that is no piece
+        self.names = ["", *self.ids]
+        self.weights = [0.0, *self.scores.values()]
+        self.places: dict[str, int] = {}
+        for number, piece in enumerate(self.names):
             for k in range(1, len(piece)):
-                self.trie.setdefault(piece[:k], None)
-            self.trie[piece] = score
+                self.places.setdefault(piece[:k], -1)
+            self.places[piece] = number
         self.text = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()}
         self.text.update({i: bytes([b]) for b, i in enumerate(byte_ids)})
-        # the same for _short: pieces by number from 1, -1 for a prefix that is no piece
-        self.names = ["", *self.ids]
-        self.order = [0, *self.ids.values()]
-        number = {p: k for k, p in enumerate(self.names)}
-        self.places = {prefix: number.get(prefix, -1) if prefix in self.ids else -1 for prefix in self.trie}
         self.neighbours: dict[int, bool] = {}
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.spans = None if crossing else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -166,10 +163,10 @@ class PieceCoder:
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of ``text`` in committed runs. A mark inside ``text`` stands for a space."""
-        trie, longest, unknown, bpe = self.trie, self.longest, self.unknown, self.kind == "bpe"
-        compatible, known = self.compatible, self._compatible
+        places, longest, unknown, bpe = self.places, self.longest, self.unknown, self.kind == "bpe"
+        neighbours, weights = self.neighbours, self.weights
         n = len(text)
-        state: dict = {0: "" if bpe else 0.0}  # of boundaries in the window: last piece, or score
+        state: dict = {0: 0 if bpe else 0.0}  # of boundaries in the window: last piece by number, or score
         back: dict[int, int] = {}  # boundary -> the boundary before it, since the last commit
         committed, far, check = 0, 0, 2 * longest
         for i in range(n):
@@ -190,29 +187,35 @@ class PieceCoder:
                 check = i + longest
             end, single = i + 1, False
             while end <= n:
-                piece = text[i:end]
-                score = trie.get(piece, -1)
-                if score == -1 and piece not in trie:
+                piece = places.get(text[i:end])
+                if piece is None:
                     break
-                if score is not None:
+                if piece >= 0:
                     if end == i + 1:
                         single = True
                     if bpe:
-                        if end not in state and (i == 0 or known.get((here, piece)) or ((here, piece) not in known and compatible(here, piece))):
-                            if i or len(piece) == 1 or self.halves(piece) is not None:
+                        if end not in state:
+                            key = here << 21 | piece
+                            fits = neighbours.get(key)
+                            if fits is None:
+                                fits = self._fits(key, here, piece)
+                            if fits:
                                 state[end], back[end] = piece, i
-                                far = max(far, end)
+                                if end > far:
+                                    far = end
                     else:
-                        total = here + score
+                        total = here + weights[piece]
                         if end not in state or total > state[end]:
                             state[end], back[end] = total, i
-                            far = max(far, end)
+                            if end > far:
+                                far = end
                 end += 1
             if not single:
-                total = text[i] if bpe else here + unknown
+                total = UNKNOWN + ord(text[i]) if bpe else here + unknown
                 if i + 1 not in state or (not bpe and total > state[i + 1]):
                     state[i + 1], back[i + 1] = total, i
-                    far = max(far, i + 1)
+                    if i + 1 > far:
+                        far = i + 1
         if n > committed:
             yield self._commit(text, back, committed, n)
 
@@ -240,49 +243,15 @@ class PieceCoder:
         return out
 
     def _span(self, span: str) -> bytes:
-        if self.kind == "bpe" and len(span) <= SHORT:
-            return self._short(span)
-        return np.array([i for run in self.stream(span) for i in run], dtype=np.int32).tobytes()
-
-    def _short(self, span: str) -> bytes:
-        """The BPE pass of ``stream`` over a span that the window holds as a whole; pieces are numbers."""
-        n, places, neighbours = len(span), self.places, self.neighbours
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            here = last[i] << 21
-            end, single = i + 1, False
-            while end <= n:
-                piece = places.get(span[i:end])
-                if piece is None:
-                    break
-                if piece >= 0:
-                    if end == i + 1:
-                        single = True
-                    if last[end] < 0:
-                        key = here | piece if i else piece
-                        fits = neighbours.get(key)
-                        if fits is None:
-                            fits = self._fits(key, last[i] if i else -1, piece)
-                        if fits:
-                            last[end], back[end] = piece, i
-                end += 1
-            if not single and last[i + 1] < 0:
-                last[i + 1], back[i + 1] = UNKNOWN + ord(span[i]), i
-        out, end = [], n
-        while end:
-            piece = last[end]
-            if piece < UNKNOWN:
-                out.append(self.order[piece])
-            else:
-                out.extend(self.byte_ids[x] for x in reversed(chr(piece - UNKNOWN).encode()))
-            end = back[end]
-        out.reverse()
-        return array("i", out).tobytes()
+        out = array("i")
+        for run in self.stream(span):
+            out.extend(run)
+        return out.tobytes()
 
     def _fits(self, key: int, before: int, piece: int) -> bool:
-        """Whether a piece may follow the one before it (-1: begins the span)."""
+        """Whether a piece may follow the one before it (0: begins the span)."""
         text = self.names[piece]
-        if before < 0:
+        if before == 0:
             fits = len(text) == 1 or self.halves(text) is not None
         else:
             fits = self.compatible(self.names[before] if before < UNKNOWN else chr(before - UNKNOWN), text)

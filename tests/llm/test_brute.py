@@ -49,6 +49,33 @@ def test_streaming_equals_whole(coder):
     assert max(map(len, runs)) < 100 and len(runs) > 30
 
 
+def test_real_documents_go_through_the_stream(monkeypatch):
+    """What the cache holds was committed by the streaming pass, and it equals the library's ids."""
+    import duckdb
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    tool, library = pieces.PieceCoder.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    stream, committed = pieces.PieceCoder.stream, {}
+
+    def counted(self, text):
+        runs = list(stream(self, text))
+        committed[text] = [i for run in runs for i in run]
+        return iter(runs)
+
+    monkeypatch.setattr(pieces.PieceCoder, "stream", counted)
+    texts = [t or "" for (t,) in duckdb.sql(f"SELECT text FROM '{DATA}/documents.parquet'").fetchall()]
+    for text in texts:
+        ids = tool.encode(text).tolist()
+        assert ids == library.encode(text) and tool.decode(ids) == text
+    assert len(committed) > 10_000
+    for span, ids in tool.cache.items():
+        assert span in committed or len([k for k in range(1, len(span)) if span[k - 1 : k + 1] not in tool.pairs]) > 0
+        if span in committed:
+            assert np.frombuffer(ids, np.int32).tolist() == committed[span]
+
+
 def unigram(pieces_, seed=0):
     r = random.Random(seed)
     return pieces.PieceCoder({p: (i, -r.randrange(1, 60) / 7) for i, p in enumerate(pieces_)}, list(range(1000, 1256)), "unigram")
