@@ -67,7 +67,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each but the last written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{_common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{_common.table_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -5,14 +5,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import saved, ship_package, stored, table_dir
+
+__all__ = ["saved", "stored", "table_dir"]
 
 #: Most bytes of an Arrow batch on its way to a worker. Texts are long: the usual 64 MB, held by
 #: the executor and the worker and then as Python strings, would be too much for every core.
@@ -23,23 +24,20 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+#: A key that holds this share of all rows, or more, is hot.
+HOT_SHARE = 1000
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    is unset (a local session, as in tests) a temporary folder is taken.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    java_context = spark.sparkContext._jsc.sc()
-    if java_context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="rollmark-"))
-    return named or java_context.getCheckpointDir().get()
 
+def skew_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` on ``keys``. ``table`` has each key once, with the number ``n`` of rows that have it.
 
-def saved(frame: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``frame`` to the shared folder once, and read it from there."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    At most HOT_SHARE keys can each hold ``1 / HOT_SHARE`` of all rows; these are broadcast, so their
+    rows stay where they are. ``rows`` is read twice, and should be a stored table."""
+    total = rows.count() if total is None else total
+    hot = table.where(F.col("n") * HOT_SHARE >= total)
+    cold = table.where(F.col("n") * HOT_SHARE < total)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(others.join(cold, keys))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

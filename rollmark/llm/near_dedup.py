@@ -17,8 +17,14 @@ candidates. Documents with equal multisets are one representative. Buckets are n
    to components, and a bucket within one component is done.
 2. Members of buckets that still hold several components are compared by a prefix filter: two
    texts of similarity t share one of the rarest ``1 - t`` of their shingles, in any fixed
-   order of shingles. Passages that many documents share come last in the order, so they
-   bring no pairs about. Pairs across components that share such a shingle are verified.
+   order of shingles, and in the smaller text it is among the rarest ``(1 - t) / (1 + t)``. Passages
+   that many documents share come last in the order, so they bring no pairs about. Pairs across
+   components that share such a shingle are verified.
+3. The order of step 2 comes from counters of fixed number. Where it still lets many texts meet in one
+   shingle, the texts that met there are ordered anew by exact counts, shingles that no two components share
+   first; what meets in many then are texts made of common shingles nearly throughout. These are verified
+   against one hub for each such shingle, round by round, and joined. What remains in different components
+   when a round joins less than a tenth of the texts it asked is compared by the filter of step 2.
 
 Verification compares the whole multisets.
 """
@@ -30,10 +36,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import documents, narrow, parts, saved
+from ._common import HOT_SHARE, documents, narrow, parts, saved, skew_join, stored
 from .components import connected_components
 from .substring_dedup import Rolling, _signed, _slices, mix, word_hashes
 
@@ -41,6 +47,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 6
 #: Counters that order shingles by frequency; the table of counts is broadcast, its size is fixed.
 COUNTERS = 1 << 16
+#: So many pairs may meet in one shingle before its texts are ordered by exact counts.
+HOT_PAIRS = 1 << 14
 
 
 def shingle_hashes(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -188,22 +196,23 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFram
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _tokens(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all texts, and the text of each; a repeated shingle is a new token each time."""
+    h, d, w = multisets(*shingle_hashes(texts, k))
+    nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+    return mix(np.repeat(h, w) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.repeat(d, w)
+
+
 def rare_shingles(texts: DataFrame, k: int, least: float) -> DataFrame:
     """token, before, place, node, label, total: of each text (node, label, text) the rarest shingles, as many as
-    one of them must be in any text of similarity ``least``. A repeated shingle is a new token
-    each time. Rarity is read off a fixed number of counters: a counter shared by
-    rare shingles changes the order, not the result."""
-
-    def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        h, d, w = multisets(*shingle_hashes(texts, k))
-        nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-        return mix(np.repeat(h, w) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.repeat(d, w)
+    one of them must be in any text of similarity ``least``. Rarity is read off a fixed number of
+    counters: a counter shared by rare shingles changes the order, not the result."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             for cut in _slices(batch, "text", 1_000_000):
-                h, _ = tokens(cut.column("text").to_pylist())
+                h, _ = _tokens(cut.column("text").to_pylist(), k)
                 total += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["counter", "n"])
@@ -216,7 +225,7 @@ def rare_shingles(texts: DataFrame, k: int, least: float) -> DataFrame:
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in _slices(batch, "text", 1_000_000):
-                h, d = tokens(cut.column("text").to_pylist())
+                h, d = _tokens(cut.column("text").to_pylist(), k)
                 order = np.lexsort((h, shared.value[(h % np.uint64(COUNTERS)).astype(np.int64)], d))
                 h, d = h[order], d[order]
                 sizes = np.bincount(d, minlength=cut.num_rows)
@@ -230,6 +239,112 @@ def rare_shingles(texts: DataFrame, k: int, least: float) -> DataFrame:
     return texts.select("node", "label", "text").mapInArrow(rare, "token long, before long, place long, node long, label long, total long")
 
 
+def ordered_shingles(texts: DataFrame, k: int, least: float) -> DataFrame:
+    """The columns of ``rare_shingles``, in the order of exact counts: shingles that texts of one label alone
+    have, then those of fewest texts. The former bring no pairs about and are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in _slices(batch, "text", 1_000_000):
+                h, d = _tokens(cut.column("text").to_pylist(), k)
+                rows = pa.array(d)
+                sizes = np.bincount(d, minlength=cut.num_rows)
+                arrays = [_signed(h), cut.column("node").take(rows), cut.column("label").take(rows), pa.array(sizes[d])]
+                yield pa.RecordBatch.from_arrays(arrays, ["token", "node", "label", "total"])
+
+    tokens = saved(texts.select("node", "label", "text").mapInArrow(run, "token long, node long, label long, total long"))
+    total = tokens.count()
+    counts = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("meets", F.col("lo") < F.col("hi")).where(F.col("meets") | (F.col("n") * HOT_SHARE >= total))
+    met = skew_join(tokens, saved(counts.select("token", "n", "meets")), ["token"], total).where("meets")
+    own = Window.partitionBy("node").orderBy("n", "token")
+    alone = F.col("total") - F.count(F.lit(1)).over(Window.partitionBy("node"))
+    placed = met.select(
+        "token",
+        F.coalesce(F.lag("token").over(own), F.col("node")).alias("before"),
+        (alone + F.row_number().over(own) - 1).alias("place"),
+        "node",
+        "label",
+        "total",
+    )
+    return placed.where(F.col("place") <= F.col("total") - F.ceil(F.col("total") * F.lit(least) - 1e-9))
+
+
+def _leads(least: float) -> Column:
+    """Whether a text's shingle can be the first that it shares with a text of its size or more."""
+    return F.col("place") <= F.col("total") * F.lit((1 - least) / (1 + least)) + 1e-6
+
+
+def meeting_places(prefixes: DataFrame, least: float, total: int) -> DataFrame:
+    """token, n (texts), pairs: shingles in which texts of several labels meet, and how many pairs at most. Shingles
+    that a large share of all rows has are there too, with pairs = 0 if nothing meets in them."""
+    found = prefixes.groupBy("token").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(_leads(least).cast("long")).alias("m")
+    )
+    found = found.select("token", "n", F.when(F.col("lo") < F.col("hi"), F.col("n") * F.col("m")).otherwise(0).alias("pairs"))
+    return found.where((F.col("pairs") > 0) | (F.col("n") * HOT_SHARE >= total))
+
+
+def meeting_pairs(prefixes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of different labels that meet in a shingle and may be similar enough."""
+    smaller = prefixes.where(_leads(least)).select(
+        "token", F.col("before").alias("ta"), F.col("place").alias("pa"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("total").alias("wa")
+    )
+    other = prefixes.select("token", F.col("before").alias("tb"), F.col("place").alias("pb"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("total").alias("wb"))
+    return (
+        smaller.join(other, "token")
+        .where((F.col("wa") < F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b"))))
+        .where((F.col("la") != F.col("lb")) & (F.col("wa") >= F.col("wb") * F.lit(least) - 1e-6))
+        # if this is the first shingle that the two share, no more than what follows it can be shared
+        .where(F.least(F.col("wa") - F.col("pa"), F.col("wb") - F.col("pb")) >= (F.col("wa") + F.col("wb")) * F.lit(least / (1 + least)) - 1e-6)
+        # a pair that shares the shingle before this one as well has been found by that
+        .where((F.col("pa") == 0) | (F.col("pb") == 0) | (F.col("ta") != F.col("tb")))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
+
+
+def compare(nodes: DataFrame, texts: DataFrame, links: DataFrame, tried: DataFrame, k: int, least: float, hot_pairs: int) -> DataFrame:
+    """Links (a, b) between texts of ``nodes`` (node, label) with different labels, steps 2 and 3 above.
+
+    ``links`` are those that made the labels, ``tried`` the pairs (a, b; both ways) verified before."""
+
+    def met(prefixes: DataFrame, total: int) -> DataFrame:
+        cells = stored(meeting_places(prefixes, least, total))
+        return stored(skew_join(prefixes, cells, ["token"], total).where("pairs > 0"))
+
+    prefixes = stored(rare_shingles(texts.join(nodes, "node").select("node", "label", "text"), k, least))
+    rows = met(prefixes, prefixes.count())
+    pairs = meeting_pairs(rows.where(F.col("pairs") <= hot_pairs), least)
+    more = links.limit(0)
+    crowd = rows.where(F.col("pairs") > hot_pairs).select("node", "label").distinct()
+    if crowd.limit(1).count():
+        prefixes = stored(ordered_shingles(texts.join(stored(crowd), "node").select("node", "label", "text"), k, least))
+        total, turn = prefixes.count(), 0
+        rows = met(prefixes, total)
+        while True:
+            hot = rows.where(F.col("pairs") > hot_pairs).select("token", "n", "node", "label")
+            if not hot.limit(1).count():
+                break
+            hubs = hot.groupBy("token").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "token", F.lit(turn))).alias("hub"), F.count(F.lit(1)).alias("n"))
+            asked = skew_join(hot.drop("n"), stored(hubs), ["token"]).where("label <> hub.label")
+            ballot = asked.groupBy("node").agg(F.max_by("hub.node", F.struct("n", F.xxhash64("hub.node", "node"))).alias("hub"))
+            fresh = ballot.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            fresh = stored(fresh.join(tried, ["a", "b"], "left_anti"))
+            found = stored(verify(fresh, texts, k, least))
+            tried = stored(tried.unionByName(fresh).unionByName(fresh.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+            more, turn = stored(more.unionByName(found)), turn + 1
+            # go on while a tenth of the texts asked find company
+            if found.count() * 10 <= fresh.count():
+                break
+            labels = connected_components(links.unionByName(more))
+            prefixes = stored(prefixes.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+            rows = met(prefixes, total)
+        pairs = pairs.unionByName(meeting_pairs(rows, least)).distinct()
+    pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
+    return stored(more.unionByName(verify(pairs, texts, k, least)))
+
+
 def near_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -238,13 +353,15 @@ def near_dedup(
     k: int = SHINGLE,
     bands: int = BANDS,
     rows: int = ROWS,
+    hot_pairs: int = HOT_PAIRS,
 ) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest id of its class), class_size, kept.
 
     A class is a connected component of texts whose multisets of word shingles have a weighted
     Jaccard similarity of at least ``least``. A pair of exactly 0.8 agrees in no band with a
     probability of 6 in 100,000; more similar pairs are missed less often. All that agree in
-    one are either joined or compared.
+    one are either joined or compared. ``hot_pairs`` says when step 3 begins; it changes the work, not
+    the result.
 
     Words are compared unchanged. Texts without words (null and empty ones) are alike. A text of
     fewer than ``k`` words is one shingle. Rows with a null id form no classes: each is returned
@@ -281,24 +398,8 @@ def near_dedup(
     placed = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     opened = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     open_nodes = saved(placed.join(opened, "key").select("node", "label").distinct())
-    prefixes = rare_shingles(texts.join(open_nodes, "node").select("node", "label", "text"), k, least)
-    cells = prefixes.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    prefixes = saved(prefixes.join(cells, "token"))
-    pairs = (
-        prefixes.select("token", F.col("before").alias("ta"), F.col("place").alias("pa"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("total").alias("wa"))
-        .join(prefixes.select("token", F.col("before").alias("tb"), F.col("place").alias("pb"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("total").alias("wb")), "token")
-        .where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
-        .where((F.least("wa", "wb") >= F.greatest("wa", "wb") * F.lit(least) - 1e-6))
-        # if this is the first shingle that the two share, no more than what follows it can be shared
-        .where(F.least(F.col("wa") - F.col("pa"), F.col("wb") - F.col("pb")) >= (F.col("wa") + F.col("wb")) * F.lit(least / (1 + least)) - 1e-6)
-        # a pair that shares the shingle before this one as well has been found by that
-        .where((F.col("pa") == 0) | (F.col("pb") == 0) | (F.col("ta") != F.col("tb")))
-        .select("a", "b")
-        .distinct()
-    )
     both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = saved(pairs.join(both_ways, ["a", "b"], "left_anti"))
-    more = saved(verify(pairs, texts, k, least))
+    more = compare(open_nodes, texts, links, both_ways, k, least, hot_pairs)
     # the texts of an id are one document
     several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("doc_id", "a")
     same = members.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()

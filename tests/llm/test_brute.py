@@ -254,6 +254,11 @@ def test_classes_equal_brute_force(spark):
     passage = " ".join(words(60, 7, 3000))
     texts += [passage + " " + " ".join(words(40, 900 + k, 3000)) for k in range(25)]
     texts += ["same few words", "same few words", "other few words", "a a a a a a a a", "a a a a a a a"]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs_of(spark, texts)).collect()}
+    assert got == classes_by_hand(texts)
+
+
+def classes_by_hand(texts):
     parent = list(range(len(texts)))
 
     def find(x):
@@ -266,8 +271,27 @@ def test_classes_equal_brute_force(spark):
             if near_dedup.similarity(texts[i], texts[j]) >= 0.8:
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs_of(spark, texts)).collect()}
-    assert got == {i: find(i) for i in range(len(texts))}
+    return {i: find(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("hot_pairs", [0, 40])
+def test_texts_that_meet_in_one_shingle(spark, hot_pairs):
+    """Many texts with one shingle, many with most of a text in common, and near copies among both."""
+    rare, frame = " ".join(words(5, 1, 10**6)), words(150, 2, 10**6)
+    texts = [f"{' '.join(words(60, 300 + i, 10**6))} {rare}" for i in range(60)]
+    texts += [edited(t, 0.01, i) for i, t in enumerate(texts[:20])]
+    texts += [" ".join(frame[:120] + words(24, 500 + i, 10**6)) for i in range(40)]  # just under 0.8 alike
+    texts += [edited(t, 0.01, 70 + i) for i, t in enumerate(texts[80:100])]
+    texts += [edited(" ".join(frame), 0.02, 900 + i) for i in range(30)]
+    nodes = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, label long")
+    stored = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    none = spark.createDataFrame([], "a long, b long")
+    links = near_dedup.compare(nodes, stored, none, none, 5, 0.8, hot_pairs)
+    found = {r["node"]: r["label"] for r in components.connected_components(links).collect()}
+    assert {i: found.get(i, i) for i in range(len(texts))} == classes_by_hand(texts)
+    if hot_pairs:
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs_of(spark, texts), hot_pairs=hot_pairs).collect()}
+        assert got == classes_by_hand(texts)
 
 
 def test_components(spark):
