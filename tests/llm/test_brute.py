@@ -363,20 +363,41 @@ def test_toxicity_held_out(spark):
     assert len(rows) > 40 and np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.9
 
 
-def test_counterfactual_penalty_narrows_the_gap():
-    r = random.Random(5)
+def group_rows(r, named):
+    """Toxic documents that name one group more often than another, and neutral mentions of both."""
     filler = lambda: " ".join(r.choice(["tree", "house", "river", "walks", "sees", "near"]) for _ in range(8))
-    texts = [f"{filler()} vile {filler()} muslims" for _ in range(60)] + [f"{filler()} vile {filler()} christians" for _ in range(6)]
-    labels = [1] * len(texts)
-    texts += [f"{filler()} {filler()} christians" for _ in range(60)] + [f"{filler()} muslims {filler()}" for _ in range(6)]
-    labels += [0] * 66
+    first, second = named
+    texts = [(f"{filler()} vile {filler()} {first}", 1) for _ in range(60)] + [(f"{filler()} vile {filler()} {second}", 1) for _ in range(6)]
+    texts += [(f"{filler()} {filler()} {second}", 0) for _ in range(60)] + [(f"{filler()} {first} {filler()}", 0) for _ in range(6)]
+    texts += [(f"{filler()}. {filler()}", 0) for _ in range(60)]
+    return texts
+
+
+def test_counterfactual_penalty_narrows_the_gap(spark):
+    rows = group_rows(random.Random(5), ("muslims", "christians"))
+    probes = ["the muslims walk near the river", "the christians walk near the river", "the vile river", "the river"]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5][: len(rows)]
+    docs = spark.createDataFrame([*zip(ids, [t for t, _ in rows], strict=True), *((5000 + k, t) for k, t in enumerate(probes))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, rows, strict=True)], "doc_id long, toxic int")
+    logit = lambda p: math.log(p / (1 - p))
     gap = {}
     for penalty in (0.0, 10.0):
-        model = toxicity.fit(texts, labels, penalty)
-        gap[penalty] = abs(model.logit(["muslims", "walks"]) - model.logit(["christians", "walks"]))
-        assert model.score("the vile river") > model.score("the river")
-    assert gap[10.0] < 0.3 * gap[0.0]
-    assert toxicity.fit(texts, labels, 10.0).score("muslims walks near river") < 0.5
+        scores = [r["score"] for r in sorted(toxicity.toxicity(docs, labels, penalty=penalty).where("doc_id >= 5000").collect())]
+        gap[penalty] = abs(logit(scores[0]) - logit(scores[1]))
+        assert scores[2] > scores[3]
+    assert gap[10.0] < 0.3 * gap[0.0] and scores[0] < 0.5 and scores[1] < 0.5
+
+
+def test_names_that_no_document_has(spark):
+    """The names share their first letters with toxic words, and are in no labelled document."""
+    rows = [(t.replace("vile", f"muslim{'xyz'[i % 3]}oid"), y) for i, (t, y) in enumerate(group_rows(random.Random(6), ("these", "those")))]
+    sample = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, label int")
+    sets = (("muslims", "christians"), ("women", "men"))
+    loose, held = (toxicity.fit_toxicity(sample, penalty, sets) for penalty in (0.0, 10.0))
+    assert held.report["swapped"] == 0 and held.report["made"] == 2 * 2 * 2 * toxicity.MADE
+    gap = lambda m: abs(m.logit(["muslims", "walk"]) - m.logit(["christians", "walk"]))
+    assert gap(held) < 0.3 * gap(loose) and held.report["gap"] < loose.report["gap"]
+    assert held.score("muslimxoid river") > 0.5 > held.score("the muslims walk")
 
 
 def test_em_finds_the_good_labellers():
