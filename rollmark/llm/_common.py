@@ -28,16 +28,21 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1000
 
 
-def skew_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
-    """``rows`` joined with ``table`` on ``keys``. ``table`` has each key once, with the number ``n`` of rows that have it.
-
-    At most HOT_SHARE keys can each hold ``1 / HOT_SHARE`` of all rows; these are broadcast, so their
-    rows stay where they are. ``rows`` is read twice, and should be a stored table."""
-    total = rows.count() if total is None else total
-    hot = table.where(F.col("n") * HOT_SHARE >= total)
-    cold = table.where(F.col("n") * HOT_SHARE < total)
-    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(others.join(cold, keys))
+def heavy_keys(table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """The keys of ``table`` (each once, with its number ``n`` of rows) that a share of all rows has:
+    HOT_SHARE keys at most, whatever the data."""
+    return table.where(F.col("n") * HOT_SHARE >= total).select(*keys)
+
+
+def skew_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int | None = None, heavy: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once. Heavy keys are broadcast, so their rows stay where
+    they are. They are those of ``table``, by its column ``n`` and ``total`` rows, or a table of their own, which
+    may name keys that ``table`` lacks. ``rows`` is read twice, and should be a stored table."""
+    if heavy is None:
+        heavy = heavy_keys(table, keys, rows.count() if total is None else total)
+    heavy = F.broadcast(heavy)
+    others = rows.join(heavy, keys, "left_anti").join(table.join(heavy, keys, "left_anti"), keys)
+    return rows.join(F.broadcast(table.join(heavy, keys, "left_semi")), keys).unionByName(others)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_CLASS, documents, narrow, saved
+from ._common import WORD_CLASS, documents, heavy_keys, narrow, saved, skew_join
 from .substring_dedup import _signed, _slices
 
 WORD = re.compile(WORD_CLASS)
@@ -113,10 +113,11 @@ def _tokens(source: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def _members(tokens: DataFrame, held: DataFrame, similarity: float, min_docs: int) -> list[DataFrame]:
+def _members(tokens: DataFrame, held: DataFrame, heavy: DataFrame, similarity: float, min_docs: int) -> list[DataFrame]:
     """leaf and variant of the lines of recurring templates, for leaves of several forms.
 
-    ``tokens`` is what ``_tokens`` gives, ``held`` has leaf, variant and key_id of these leaves. A pass
+    ``tokens`` is what ``_tokens`` gives, ``held`` has leaf, variant and key_id of these leaves, ``heavy`` the
+    forms with a large share of its rows. A pass
     looks for one template in each part of a leaf and splits the parts without one; the next takes
     the leaves in which some were found again, without the lines found."""
     group = ["leaf", "part"]
@@ -135,7 +136,8 @@ def _members(tokens: DataFrame, held: DataFrame, similarity: float, min_docs: in
             members = alike.where((F.col("same") >= F.col("size") * F.lit(similarity)) & (F.col("same") > F.col("chosen")))
             members = saved(members.select(*group, "variant", "docs"))
             enough = members.groupBy(*group).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select(*group)
-            counted = held.join(members.join(enough, group).select(*group, "variant"), ["leaf", "variant"]).select(*group, "key_id").distinct()
+            candidates = members.join(enough, group).select(*group, "variant")
+            counted = skew_join(held, candidates, ["leaf", "variant"], heavy=heavy).select(*group, "key_id").distinct()
             recurring = saved(counted.groupBy(*group).agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select(*group))
             if recurring.limit(1).count():
                 hits.append(saved(members.join(recurring, group).select("leaf", "variant")))
@@ -174,7 +176,7 @@ def line_dedup(
 
     Lines are separated by ``\n``; the text that is kept has the lines that stay, unchanged and in
     order, blank ones included. Null texts count as empty and stay so. Rows with a null id are
-    cleaned like others and count as one document together; rows repeated with one id count
+    cleaned like others and count as one document together (with rows of the id -2^63, if any); rows repeated with one id count
     as one document. Repeats within one document make no template recur. An empty table gives an
     empty result; other columns are ignored.
     """
@@ -184,8 +186,11 @@ def line_dedup(
     # the texts are one side of two joins below, with the same columns: Spark shuffles them once
     lines = saved(_lines(source.select("key_id", "text_hash", "text"), depth))
     # documents of each form of a line, and its first place
-    per_doc = lines.groupBy("leaf", "variant", "key_id").agg(F.min(F.struct("text_hash", "line")).alias("at"))
-    variants = saved(per_doc.groupBy("leaf", "variant").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("key_id", "at")).alias("place")))
+    per_doc = lines.groupBy("leaf", "variant", "key_id").agg(F.min(F.struct("text_hash", "line")).alias("at"), F.count(F.lit(1)).alias("n"))
+    counts = [F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.min(F.struct("key_id", "at")).alias("place")]
+    variants = saved(per_doc.groupBy("leaf", "variant").agg(*counts))
+    form = ["leaf", "variant"]
+    heavy = saved(heavy_keys(variants, form, lines.count()))
     leaves = variants.groupBy("leaf").agg(F.sum("docs").alias("pairs"), F.count(F.lit(1)).alias("forms"))
     mixed = leaves.where((F.col("forms") > 1) & (F.col("pairs") >= min_docs)).select("leaf", "pairs")
 
@@ -194,10 +199,10 @@ def line_dedup(
     tokens = saved(_tokens(source, places, depth))
     held = saved(per_doc.join(mixed.select("leaf"), "leaf").select("leaf", "variant", "key_id"))
     dropped = variants.where(F.col("docs") >= min_docs).select("leaf", "variant")
-    for members in _members(tokens, held, similarity, min_docs):
+    heavy_held = saved(heavy_keys(places.select(*form, F.col("docs").alias("n")), form, held.count()))
+    for members in _members(tokens, held, heavy_held, similarity, min_docs):
         dropped = dropped.unionByName(members)
-    dropped = dropped.distinct()
-    hits = lines.join(dropped, ["leaf", "variant"]).groupBy("key_id", "text_hash").agg(F.collect_set("line").alias("gone"))
+    hits = skew_join(lines, saved(dropped.distinct()), form, heavy=heavy).groupBy("key_id", "text_hash").agg(F.collect_set("line").alias("gone"))
     joined = source.join(hits, ["key_id", "text_hash"], "left").select("doc_id", "text", "gone")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
