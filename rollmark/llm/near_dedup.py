@@ -21,8 +21,9 @@ candidates. Documents with equal multisets are one representative. Buckets are n
    that many documents share come last in the order, so they bring no pairs about. Pairs across
    components that share such a shingle are verified.
 3. The order of step 2 comes from counters of fixed number. Where it still lets many texts meet in one
-   shingle, the texts that met there are ordered anew by exact counts, shingles that no two components share
-   first; what meets in many then are texts made of common shingles nearly throughout. These are verified
+   shingle, the texts that met there are ordered anew, with all such shingles last, as long as that halves the pairs.
+   If these are too many to send around, exact counts of all shingles give the order. What meets in many then
+   are texts made of common shingles nearly throughout. These are verified
    against one hub for each such shingle, round by round, and joined. What remains in different components
    when a round joins less than a tenth of the texts it asked is compared by the filter of step 2.
 
@@ -47,8 +48,10 @@ SHINGLE = 5
 BANDS, ROWS = 32, 6
 #: Counters that order shingles by frequency; the table of counts is broadcast, its size is fixed.
 COUNTERS = 1 << 16
-#: So many pairs may meet in one shingle before its texts are ordered by exact counts.
+#: So many pairs may meet in one shingle before its texts are ordered anew.
 HOT_PAIRS = 1 << 14
+#: So many shingles may be sent to every worker as those that come last (8 bytes each).
+LATE_TOKENS = 1 << 20
 
 
 def shingle_hashes(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -203,10 +206,8 @@ def _tokens(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.repeat(h, w) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.repeat(d, w)
 
 
-def rare_shingles(texts: DataFrame, k: int, least: float) -> DataFrame:
-    """token, before, place, node, label, total: of each text (node, label, text) the rarest shingles, as many as
-    one of them must be in any text of similarity ``least``. Rarity is read off a fixed number of
-    counters: a counter shared by rare shingles changes the order, not the result."""
+def rarity(texts: DataFrame, k: int) -> np.ndarray:
+    """How often the shingles of each counter occur in all texts; a fixed number of counters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
@@ -220,13 +221,23 @@ def rare_shingles(texts: DataFrame, k: int, least: float) -> DataFrame:
     counts = np.zeros(COUNTERS, dtype=np.int64)
     for row in texts.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
         counts[row["counter"]] = row["n"]
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    return counts
+
+
+def rare_shingles(texts: DataFrame, k: int, least: float, counts: np.ndarray, last: np.ndarray) -> DataFrame:
+    """token, before, place, node, label, total: of each text (node, label, text) the rarest shingles, as many as
+    one of them must be in any text of similarity ``least``. Rarity is read off ``counts``: a counter shared
+    by rare shingles changes the order, not the result. The tokens in ``last`` (sorted) come after all others."""
+    shared = texts.sparkSession.sparkContext.broadcast((counts, last))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, last = shared.value
         for batch in batches:
             for cut in _slices(batch, "text", 1_000_000):
                 h, d = _tokens(cut.column("text").to_pylist(), k)
-                order = np.lexsort((h, shared.value[(h % np.uint64(COUNTERS)).astype(np.int64)], d))
+                frequent = counts[(h % np.uint64(COUNTERS)).astype(np.int64)]
+                late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(len(h), dtype=bool)
+                order = np.lexsort((h, frequent, late, d))
                 h, d = h[order], d[order]
                 sizes = np.bincount(d, minlength=cut.num_rows)
                 place = np.arange(len(d)) - (np.cumsum(sizes) - sizes)[d]
@@ -304,7 +315,7 @@ def meeting_pairs(prefixes: DataFrame, least: float) -> DataFrame:
     )
 
 
-def compare(nodes: DataFrame, texts: DataFrame, links: DataFrame, tried: DataFrame, k: int, least: float, hot_pairs: int) -> DataFrame:
+def compare(nodes: DataFrame, texts: DataFrame, links: DataFrame, tried: DataFrame, k: int, least: float, hot_pairs: int, late_tokens: int = LATE_TOKENS) -> DataFrame:
     """Links (a, b) between texts of ``nodes`` (node, label) with different labels, steps 2 and 3 above.
 
     ``links`` are those that made the labels, ``tried`` the pairs (a, b; both ways) verified before."""
@@ -313,15 +324,35 @@ def compare(nodes: DataFrame, texts: DataFrame, links: DataFrame, tried: DataFra
         cells = stored(meeting_places(prefixes, least, total))
         return stored(skew_join(prefixes, cells, ["token"], total).where("pairs > 0"))
 
-    prefixes = stored(rare_shingles(texts.join(nodes, "node").select("node", "label", "text"), k, least))
+    none = np.zeros(0, dtype=np.uint64)
+    wanted = texts.join(nodes, "node").select("node", "label", "text")
+    prefixes = stored(rare_shingles(wanted, k, least, rarity(wanted, k), none))
     rows = met(prefixes, prefixes.count())
     pairs = meeting_pairs(rows.where(F.col("pairs") <= hot_pairs), least)
     more = links.limit(0)
     crowd = rows.where(F.col("pairs") > hot_pairs).select("node", "label").distinct()
     if crowd.limit(1).count():
-        prefixes = stored(ordered_shingles(texts.join(stored(crowd), "node").select("node", "label", "text"), k, least))
+        wanted = stored(texts.join(stored(crowd), "node").select("node", "label", "text"))
+        counts, last, before = rarity(wanted, k), none, float("inf")
+        while True:
+            # the shingles that too many texts meet in come last; their place is taken by others
+            hot = rows.where(F.col("pairs") > hot_pairs).select("token").distinct()
+            load = rows.where(F.col("pairs") > hot_pairs).agg(F.sum(F.col("pairs") / F.col("n")).alias("load")).first()["load"] or 0.0
+            if load * 2 > before:  # the order has done what it can
+                break
+            before = load
+            fresh = np.array([r["token"] for r in hot.limit(late_tokens + 1).collect()], dtype=np.int64).view(np.uint64)
+            fresh = np.setdiff1d(fresh, last)
+            if not len(fresh):
+                break
+            last = np.union1d(last, fresh)
+            if len(last) > late_tokens:  # too many to send to every worker: exact counts say which
+                prefixes = stored(ordered_shingles(wanted, k, least))
+                rows = met(prefixes, prefixes.count())
+                break
+            prefixes = stored(rare_shingles(wanted, k, least, counts, last))
+            rows = met(prefixes, prefixes.count())
         total, turn = prefixes.count(), 0
-        rows = met(prefixes, total)
         while True:
             hot = rows.where(F.col("pairs") > hot_pairs).select("token", "n", "node", "label")
             if not hot.limit(1).count():

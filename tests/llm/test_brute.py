@@ -274,8 +274,8 @@ def classes_by_hand(texts):
     return {i: find(i) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("hot_pairs", [0, 40])
-def test_texts_that_meet_in_one_shingle(spark, hot_pairs):
+@pytest.mark.parametrize(("hot_pairs", "late_tokens"), [(40, near_dedup.LATE_TOKENS), (40, 3)])
+def test_texts_that_meet_in_one_shingle(spark, hot_pairs, late_tokens):
     """Many texts with one shingle, many with most of a text in common, and near copies among both."""
     rare, frame = " ".join(words(5, 1, 10**6)), words(150, 2, 10**6)
     texts = [f"{' '.join(words(60, 300 + i, 10**6))} {rare}" for i in range(60)]
@@ -286,10 +286,10 @@ def test_texts_that_meet_in_one_shingle(spark, hot_pairs):
     nodes = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, label long")
     stored = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
     none = spark.createDataFrame([], "a long, b long")
-    links = near_dedup.compare(nodes, stored, none, none, 5, 0.8, hot_pairs)
+    links = near_dedup.compare(nodes, stored, none, none, 5, 0.8, hot_pairs, late_tokens)
     found = {r["node"]: r["label"] for r in components.connected_components(links).collect()}
     assert {i: found.get(i, i) for i in range(len(texts))} == classes_by_hand(texts)
-    if hot_pairs:
+    if late_tokens > 3:
         got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs_of(spark, texts), hot_pairs=hot_pairs).collect()}
         assert got == classes_by_hand(texts)
 
