@@ -74,7 +74,7 @@ def annotate(frame: DataFrame, prompt_col: str, annotator: Annotator, batch: int
                 try:
                     answers += annotator(part)
                     errors += [None] * len(part)
-                except Exception as e:
+                except (OSError, RuntimeError, ValueError) as e:  # what calls fail with; mistakes in code are raised
                     answers += [None] * len(part)
                     errors += [str(e)[:500]] * len(part)
             yield rows.assign(answer=answers, error=errors)
@@ -82,6 +82,54 @@ def annotate(frame: DataFrame, prompt_col: str, annotator: Annotator, batch: int
     return frame.mapInPandas(run, schema)
 
 
+def answer_json(text: str | None):
+    """The JSON in an answer, found as ``json_from_text`` finds it; None if there is none."""
+    text = text or ""
+    tries = [text]
+    for form in (r"(?s)```(?:json|JSON)?\s*(.*?)```", r"(?s)(\{.*\})", r"(?s)(\[.*\])"):
+        tries += re.findall(form, text)[:1]
+    for found in tries:
+        try:
+            return json.loads(found)
+        except ValueError:
+            continue
+    return None
+
+
+def discover(batches: DataFrame, annotator: Annotator, inverted: bool = False, last: int = 25, attempts: int = 3) -> DataFrame:
+    """Add prompt, answer and error to batches (component, batch, head, tail), asked one after the other.
+
+    The batches of a component are taken in the order of ``batch``, or in the inverted order; each prompt shows
+    the ``last`` patterns that the answers so far have given, each once, so later answers may depend on
+    earlier ones. Components are independent of each other, and a component has as many batches as it has
+    rivals. A failed call is repeated while that is worth it; then its error is kept and the fold goes on."""
+    ship_package(batches.sparkSession)
+    schema = StructType([*batches.schema.fields]).add("prompt", "string").add("answer", "string").add("error", "string")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        call = with_retries(annotator, attempts)
+        rows = rows.sort_values("batch", ascending=not inverted, kind="stable")
+        known: dict[str, str] = {}
+        prompts, answers, errors = [], [], []
+        for head, tail in zip(rows["head"], rows["tail"], strict=True):
+            shown = "\n".join(f"  - {p}" for p in list(known.values())[-last:])
+            prompts.append("\n\n".join([head, *(["KNOWN PATTERNS:\n" + shown] if shown else []), tail]))
+            try:
+                answers.append(call([prompts[-1]])[0])
+                errors.append(None)
+            except (OSError, RuntimeError, ValueError) as e:  # what calls fail with; mistakes in code are raised
+                answers.append(None)
+                errors.append(str(e)[:500])
+            found = answer_json(answers[-1])
+            for entry in found.get("patterns") or [] if isinstance(found, dict) else []:
+                pattern = entry.get("pattern") if isinstance(entry, dict) else None
+                if isinstance(pattern, str) and pattern.strip():
+                    known.setdefault(pattern.strip().lower(), pattern)
+        return rows.assign(prompt=prompts, answer=answers, error=errors)
+
+    return batches.groupBy("component").applyInPandas(fold, schema)
+
+
 def parse_batch_answers(answers: DataFrame, keys: list[str]) -> DataFrame:
     """keys and one row per assignment in the answers; unparsable answers give none."""
     from ..functions.text import json_from_text

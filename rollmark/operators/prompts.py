@@ -45,17 +45,23 @@ def consolidation_prompt(name: Column, structure: Column, patterns: Column, term
     )
 
 
-def discovery_prompt(component: Column, rival: Column, texts_a: Column, texts_b: Column, known: Column) -> Column:
-    """Find patterns that tell a component from a rival."""
+def discovery_head(component: Column, rival: Column, texts_a: Column, texts_b: Column) -> Column:
+    """Find patterns that tell a component from a rival; what is known so far comes between this and DISCOVERY_TAIL."""
     return joined(
         F.format_string("Find text patterns that tell %s from %s.", component, rival),
         section("RECORDS A", bullets(texts_a, 15)),
         section("RECORDS B", bullets(texts_b, 15)),
-        section("KNOWN PATTERNS", bullets(known, 25)),
-        F.lit('Answer with JSON: {"patterns": [{"pattern", "means", "tier"}], "hard_cases": [{"soldier_id", "layer", "reason"}]}'),
     )
 
 
+DISCOVERY_TAIL = 'Answer with JSON: {"patterns": [{"pattern", "means", "tier"}], "hard_cases": [{"soldier_id", "layer", "reason"}]}'
+
+
+def discovery_prompt(component: Column, rival: Column, texts_a: Column, texts_b: Column, known: Column) -> Column:
+    """The whole prompt, for patterns that are known beforehand."""
+    return joined(discovery_head(component, rival, texts_a, texts_b), section("KNOWN PATTERNS", bullets(known, 25)), F.lit(DISCOVERY_TAIL))
+
+
 def vocabulary_prompt(component: Column, texts: Column) -> Column:
     return joined(
         F.format_string("List the words that mark records of %s.", component),

@@ -134,7 +134,10 @@ def context_after(observations: DataFrame, component: str, batch: str, last: int
     return observations.groupBy(component).agg(F.transform(F.slice(sequence, -last, last), lambda x: x["pattern"]).alias("context"))
 
 
-def dual_run(observations: DataFrame, component: str, batch: str) -> DataFrame:
-    """Both folds over one set of observations, and their comparison."""
-    runs = [accumulate(observations, component, batch, inverted=i).withColumn("tier", F.lit(None).cast("string")).withColumn("pos", F.col("first_batch")) for i in (False, True)]
+def dual_run(forward: DataFrame, inverted: DataFrame, component: str, batch: str) -> DataFrame:
+    """The folds over the observations of two passes, the second over the batches in inverted order, and their comparison."""
+    runs = [
+        accumulate(rows, component, batch, inverted=i).withColumn("tier", F.lit(None).cast("string")).withColumn("pos", F.col("first_batch"))
+        for rows, i in ((forward, False), (inverted, True))
+    ]
     return compare_runs(*runs, keys=[component])

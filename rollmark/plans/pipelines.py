@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotate, artifacts, batching, difficulty, evaluate, extraction, hierarchy, prompts, reconcile, sampling, synth, thresholds
 from ..operators.glossary import GlossaryForms
+from ..session import stored
 from ..sources import tables
 
 
@@ -23,6 +24,7 @@ def run_extraction(spark: SparkSession, raw_path: str, glossary_path: str, out_p
 
 def discriminators(dims: DataFrame) -> dict[str, DataFrame]:
     """Everything that is derived from a hierarchy alone."""
+    dims = stored(dims)
     return {
         "levels": hierarchy.level_discriminators(dims),
         "designators": hierarchy.designator_discriminators(dims),
@@ -33,7 +35,16 @@ def discriminators(dims: DataFrame) -> dict[str, DataFrame]:
 
 
 def inferred_difficulty(canonical: DataFrame, dims: DataFrame) -> DataFrame:
-    return difficulty.inferred_difficulty(canonical, dims, hierarchy.collision_index(dims), hierarchy.exclusion_rules(dims))
+    dims = stored(dims)
+    return difficulty.inferred_difficulty(canonical, dims, stored(hierarchy.collision_index(dims)), stored(hierarchy.exclusion_rules(dims)))
+
+
+def _patterns(answered: DataFrame) -> DataFrame:
+    """component, batch, pos, pattern, means, tier of the patterns in answers."""
+    entries = "array<struct<pattern:string,means:string,tier:string>>"
+    parsed = artifacts.parse_model(answered, "answer", f"struct<patterns:{entries}>")
+    found = parsed.select("component", "batch", F.posexplode(F.coalesce(F.col("parsed.patterns"), F.array().cast(entries))))
+    return found.select("component", "batch", "pos", "col.pattern", "col.means", "col.tier")
 
 
 def generate_artifacts(
@@ -48,7 +59,8 @@ def generate_artifacts(
     seed: int = 42,
 ) -> DataFrame:
     """component and artifact, all components at once: thresholds, conflicts, samples, annotated
-    patterns of every pair, compared over two orders, assembled.
+    patterns of every pair in two passes (the pairs of a component in one order and in the inverted one, each
+    prompt with what the pass has found so far), compared, assembled.
 
     validation: component, soldier_id, level, value. raw: soldier_id, raw_text. structure: component,
     branch, depth, levels. designators: component, level, value. rules: component, rule_type,
@@ -61,13 +73,13 @@ def generate_artifacts(
     texts = picked.join(raw.select(F.col("soldier_id").alias("id"), "raw_text"), "id").groupBy("comp_a", "comp_b", "side").agg(F.array_sort(F.collect_list("raw_text")).alias("texts"))
     wide = texts.groupBy("comp_a", "comp_b").agg(F.first(F.when(F.col("side") == "a", F.col("texts")), True).alias("a"), F.first(F.when(F.col("side") == "b", F.col("texts")), True).alias("b"))
     none = F.array().cast("array<string>")
-    wide = wide.select("comp_a", "comp_b", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
-    asked = wide.withColumn("prompt", prompts.discovery_prompt(F.col("comp_a"), F.col("comp_b"), F.col("a"), F.col("b"), none))
-    answered = annotate.annotate(asked, "prompt", annotator)
-    parsed = artifacts.parse_model(answered, "answer", "struct<patterns:array<struct<pattern:string,means:string,tier:string>>>")
-    found = parsed.select(F.col("comp_a").alias("component"), F.col("comp_b").alias("batch_key"), F.posexplode(F.coalesce(F.col("parsed.patterns"), F.array().cast("array<struct<pattern:string,means:string,tier:string>>"))))
-    found = found.select("component", F.xxhash64("batch_key").alias("batch"), "pos", "col.pattern", "col.means")
-    compared = reconcile.dual_run(found, "component", "batch")
+    a, b = F.coalesce("a", none), F.coalesce("b", none)
+    head = prompts.discovery_head(F.col("comp_a"), F.col("comp_b"), a, b)
+    asked = wide.select(F.col("comp_a").alias("component"), F.col("comp_b").alias("batch_key"), F.xxhash64("comp_b").alias("batch"), head.alias("head"), F.lit(prompts.DISCOVERY_TAIL).alias("tail"))
+    asked = stored(asked)
+    # each pass asks once for each pair; what it was told is stored, as every use below reads it
+    passes = [stored(annotate.discover(asked, annotator, inverted=i)) for i in (False, True)]
+    compared = reconcile.dual_run(*map(_patterns, passes), "component", "batch")
     final = reconcile.final_patterns(compared).select("component", "pattern", "means", "tier")
     vocabulary = final.select("component", F.lower("pattern").alias("term"), F.lit("moderate").alias("strength"))
     diffs = edges.select(F.col("comp_a").alias("component"), F.col("comp_b").alias("rival"), F.concat_ws(" ", "level", "value").alias("rule"))
@@ -99,8 +111,9 @@ def evaluate_strategy(records: DataFrame, mapping: DataFrame, truth: DataFrame,
 
 def synthetic_roster(spark: SparkSession, dims: DataFrame, unique_terms: DataFrame, n_soldiers: int, n_sources: int, seed: int = 42) -> dict[str, DataFrame]:
     """people, states, sources and records of a made-up organisation."""
+    dims = stored(dims)
     people = synth.soldiers(spark, n_soldiers, seed)
-    state = synth.states(people, dims, seed)
+    state = stored(synth.states(people, dims, seed))
     homes = synth.states(synth.soldiers(spark, 40, seed + 1), dims, seed + 1).where("state_order = 1")
     source = synth.sources(spark, n_sources, homes, seed)
     entry = synth.entries(source, state, seed)
