@@ -121,7 +121,11 @@ def exclusion_rules(dims: DataFrame, deeper_only: bool = True) -> DataFrame:
 
     ``deeper_only`` excludes by depths greater than the branch's own (else by all other depths).
     """
-    branches = dims.select(F.col("branch").alias("excludes_branch"), F.col("depth").alias("own_depth")).distinct()
+    # the branches of an organisation, as one constant of the plan: no join pairs them off
+    known = sorted(tuple(r) for r in dims.select("branch", F.col("depth").cast("int")).distinct().collect())
+    branches = F.array(*[F.struct(F.lit(b).alias("excludes_branch"), F.lit(d).cast("int").alias("own_depth")) for b, d in known])
+    branches = branches.cast("array<struct<excludes_branch:string,own_depth:int>>")
+    others = F.inline(F.filter(branches, lambda b: b["excludes_branch"] != F.col("implies_branch")))
     level = level_discriminators(dims).where("unique_to IS NOT NULL").select(F.col("level").alias("token"), F.col("unique_to").alias("implies_branch"))
     value = (
         designator_discriminators(dims)
@@ -130,17 +134,17 @@ def exclusion_rules(dims: DataFrame, deeper_only: bool = True) -> DataFrame:
     )
     depths = depth_discriminators(dims).select("depth")
     none = F.lit(None)
-    terms = level.join(branches, F.col("implies_branch") != F.col("excludes_branch")).select(
+    terms = level.select("*", others).select(
         F.lit("term_presence").alias("rule_type"), "excludes_branch", "implies_branch", "token", none.cast("int").alias("depth"),
         F.format_string("contains term '%s'", "token").alias("condition"), F.lit("definitive").alias("strength"), F.lit(1).alias("rule_order"),
     )
-    values = value.join(branches, F.col("implies_branch") != F.col("excludes_branch")).select(
+    values = value.select("*", others).select(
         F.lit("designator_invalidity").alias("rule_type"), "excludes_branch", "implies_branch", "token", none.cast("int").alias("depth"),
         F.format_string("contains designator '%s' (only valid in %s)", "token", "implies_branch").alias("condition"),
         F.lit("definitive").alias("strength"), F.lit(2).alias("rule_order"),
     )
-    outside = F.col("depth") > F.col("own_depth") if deeper_only else F.col("depth") != F.col("own_depth")
-    deep = depths.join(branches, outside).select(
+    outside = F.filter(branches, lambda b: F.col("depth") > b["own_depth"] if deeper_only else F.col("depth") != b["own_depth"])
+    deep = depths.select("depth", F.inline(outside)).select(
         F.lit("depth_mismatch").alias("rule_type"), "excludes_branch", none.cast("string").alias("implies_branch"), none.cast("string").alias("token"),
         F.col("depth").cast("int").alias("depth"),
         F.format_string("path has %d levels (branch only has %d)", F.col("depth").cast("int"), F.col("own_depth").cast("int")).alias("condition"),

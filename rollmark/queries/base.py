@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 class Tables:
     #: The parts that give sizes and the orders that give designators in the given SQL.
     cheap, largest = "p_type = 'ECONOMY' AND p_name = 'red widget'", "o_totalprice > 400000"
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._dims = spark, sf_dir, None
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -39,7 +41,13 @@ class Tables:
     def dims(self) -> DataFrame:
         """Designators: the nations and brands of a region, the segments of its customers, the sizes of
         cheap red widgets among its brands, and a post level that some regions have for themselves.
-        A region has the five brands that its key stands for; regions differ in depth."""
+        A region has the five brands that its key stands for; regions differ in depth. The table is stored
+        once, since what follows from it reads it many times."""
+        if self._dims is None:
+            self._dims = stored(self._designators())
+        return self._dims
+
+    def _designators(self) -> DataFrame:
         depth = (F.lit(3) + F.pmod(F.col("r_regionkey"), F.lit(3))).cast("int").alias("depth")
         region = F.broadcast(self.region)
         branch = F.col("r_name").alias("branch")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.relational import first_per
 from ..operators import batching, difficulty, hierarchy, sampling
+from ..plans import pipelines
 from .base import DESIGNATORS, DIMS, ENTITIES, Tables, joined
 
 QUERIES: dict = {}
@@ -106,8 +107,7 @@ FROM final"""
 
 @query(INFERRED)
 def inferred_difficulty(t):
-    dims = t.dims()
-    found = difficulty.inferred_difficulty(_canonical(t), dims, hierarchy.collision_index(dims), hierarchy.exclusion_rules(dims))
+    found = pipelines.inferred_difficulty(_canonical(t), t.dims())
     return found.select(
         "soldier_id",
         F.col("inferred_collision_position").alias("collision"),
