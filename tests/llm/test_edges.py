@@ -108,3 +108,45 @@ def test_rows_keep_their_columns(results, edge):
     assert all(r["text"] for r in results["keep_good"])
     assert results["cut_repeats"][0].asDict().keys() == set(edge.columns)
     assert by_id(results["cut_repeats"], 6)[0]["text"] == "tail"
+
+
+# ---- stages of the pipeline ----
+
+
+def stage(spark, name, docs):
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)[name](spark, docs, None)
+
+
+STAGES = ["quality classifier", "exact dedup", "near dedup", "substring dedup", "packing"]
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stage_of_an_empty_table(spark, empty, name):
+    assert stage(spark, name, empty).collect() == []
+
+
+@pytest.fixture(scope="module")
+def odd(edge):
+    """The edge rows, with the names that the stages use inside."""
+    names = {"uid": "kept_id", "digest": "sha", "norm": "_sha", "spans": "c0", "label": "cut_id", "node": "nth", "part": "kept_sha"}
+    return edge.withColumnsRenamed(names).cache()
+
+
+@pytest.mark.parametrize("name", STAGES[:-1])
+def test_stage_keeps_columns_and_edges(spark, odd, name):
+    found = stage(spark, name, odd)
+    assert found.columns == odd.columns
+    rows = found.collect()
+    ids = sorted(str(r["doc_id"]) for r in rows)
+    if name == "quality classifier":
+        assert all(r["text"] and r["text"].strip() for r in rows) and ids.count("7") == 2
+    if name == "exact dedup":  # 1, 7, 7 and the null id have one text; 2, 3 and 4 none
+        assert ids == sorted(["4", "5", "6", "7", "8", "9", "10", "11", "12"])
+    if name == "near dedup":  # 1, 7 and 8; 5 and 6; 2, 3 and 4
+        assert ids == sorted(["1", "2", "5", "9", "10", "11", "12", "None"])
+    if name == "substring dedup":
+        assert len(rows) == odd.count()
+        texts = {r["doc_id"]: r for r in rows}
+        assert texts[6]["text"] == "tail" and texts[6]["n_chars"] == 4 and texts[2]["text"] is None and texts[2]["n_chars"] is None
