@@ -128,12 +128,6 @@ def accumulate(observations: DataFrame, component: str, batch: str, inverted: bo
     return first.select(component, F.col("_key").alias("key"), "pattern", "means", F.col(batch).alias("first_batch"))
 
 
-def context_after(observations: DataFrame, component: str, batch: str, last: int = 3) -> DataFrame:
-    """The last observations an accumulator would show the next batch."""
-    sequence = F.array_sort(F.collect_list(F.struct(F.col(batch), F.col("pos"), F.col("pattern"))))
-    return observations.groupBy(component).agg(F.transform(F.slice(sequence, -last, last), lambda x: x["pattern"]).alias("context"))
-
-
 def dual_run(forward: DataFrame, inverted: DataFrame, component: str, batch: str) -> DataFrame:
     """The folds over the observations of two passes, the second over the batches in inverted order, and their comparison."""
     runs = [
