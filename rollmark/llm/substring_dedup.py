@@ -1,18 +1,25 @@
-"""Substring deduplication by minimum-hash anchors, their contexts and one refinement.
+"""Substring deduplication by level-wise doubling.
 
 A passage of ``window`` words that starts in an earlier document is removed from every later
-one. These steps replace the levels of a doubling method; there is no loop over lengths:
-
-1. ``window / 2`` words. Of the half windows inside each window the one with the smallest
-   hash is its anchor, so equal windows have equal anchors and an anchor is stored once for
-   a run of windows. Anchors of a single document are dropped here.
-2. up to ``3 / 2 window`` words: the anchor's context, that is all words of its run of
-   windows. Where a context occurs in an earlier document, its whole run is removed at once.
-3. ``window`` words, one by one, only for contexts that begin a new variant of an anchor
-   which other documents share: the edges of passages. No candidates are left after that.
-
-All joins are on hash keys after a map-side aggregate; hot keys are split by the adaptive
-skew join. Hashes are 64 bits, and a window must agree in its anchor's and in its own.
+one. Lengths double from a short seed up to the window (13, 25, 50 words); what is repeated
+at one length alone is extended to twice that length, and goes on only if it is repeated there:
+
+1. Seeds. Of the stretches of the shortest length inside each window, the one with the
+   smallest hash stands for the window. Equal windows have equal stretches, and one row
+   stands for the whole run of windows that share a stretch.
+2. Doubling. A stretch that occurs in two documents grows to twice its length, to the right
+   where the window has room, else to the left. What part of a run grows which way depends
+   on the window's words alone, so equal windows keep equal stretches at every level.
+3. The window itself, the last doubling. All windows of a run are compared at once, by the
+   hash of the run's words (its context): where that is in an earlier document, the run goes.
+   Runs that begin a new context of a stretch which other documents share are the edges of
+   passages; their windows are compared one by one. No candidates are left after that, as
+   any longer repeat is a chain of repeated windows.
+
+Hashes of all lengths come from one prefix sum, so no level reads a text again; each level
+is a stored table of the survivors, found by a map-side aggregate and a join on hash keys,
+whose hot keys are split by the adaptive skew join. Hashes are 64 bits, and a window must
+agree in the stretches of all levels and in its own.
 """
 
 from __future__ import annotations
@@ -99,46 +106,86 @@ def _slices(batch: pa.RecordBatch, column: str, most: int = 1_500_000) -> Iterat
         yield batch.slice(start)
 
 
-def anchors(texts: list[str], window: int) -> dict[str, np.ndarray]:
-    """Anchor occurrences of each text: row, first and number of windows, anchor and context."""
-    half = window // 2
+def lengths(window: int, seed: int = 8) -> list[int]:
+    """The lengths of the levels, each at most twice the one before: 13, 25 and 50 for 50. The
+    first is the smallest of at least ``seed`` words, the last the window, with one between at least."""
+    found = [window, (window + 1) // 2]
+    while (found[-1] + 1) // 2 >= seed:
+        found.append((found[-1] + 1) // 2)
+    return found[::-1]
+
+
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive values."""
+    least, reach = values, 1
+    while reach * 2 <= width:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    return np.minimum(least[: len(values) - width + 1], least[width - reach :])
+
+
+def runs_of_windows(texts: list[str], window: int) -> dict[str, np.ndarray | list[np.ndarray]]:
+    """Runs of consecutive windows that have the same stretch at every level: row, first and number
+    of windows, the stretches' hashes by level (the window's left out), and the context."""
+    levels = lengths(window)
     hashes, counts = word_hashes(texts)
     ends = np.cumsum(counts)
-    none = np.zeros(0, dtype=np.int64)
-    empty = {"row": none, "first": none, "runs": none, "anchor": none.astype(np.uint64), "context": none.astype(np.uint64)}
+    none, nothing = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    empty = {"row": none, "first": none, "runs": none, "stretches": [nothing] * (len(levels) - 1), "context": nothing}
     if len(hashes) < window:
         return empty
     rolling = Rolling(hashes)
-    halves = rolling.at(np.arange(len(hashes) - half + 1), half)
-    view = np.lib.stride_tricks.sliding_window_view(halves, window - half + 1)
-    starts = np.arange(len(view))
-    doc = np.searchsorted(ends, starts, side="right")
-    inside = starts + window <= ends[doc]
-    starts, doc = starts[inside], doc[inside]
+    size = levels[0]
+    width = window - size + 1
+    seeds = rolling.at(np.arange(len(hashes) - size + 1), size)
+    least = sliding_least(seeds, width)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    starts = np.flatnonzero(doc[: len(least)] == doc[window - 1 :])
     if not len(starts):
         return empty
-    place = np.concatenate([np.argmin(view[s : s + 200_000], axis=1) for s in range(0, len(view), 200_000)])[inside] + starts
+    # the first smallest seed is another one if the least value changes, or if it stood at the start that is left behind
     new = np.ones(len(starts), dtype=bool)
-    new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+    before = starts[1:] - 1
+    new[1:] = (starts[:-1] != before) | (least[starts[1:]] != least[before]) | (seeds[before] == least[before])
     at = np.flatnonzero(new)
-    runs = np.diff(np.append(at, len(starts)))
-    first, row = starts[at], doc[at]
-    # where in the run the anchor stands is part of the context, so equal contexts have equal runs
-    context = mix(rolling.at(first, runs + window - 1) + (place[at] - first).astype(np.uint64) * np.uint64(1_000_003) + runs.astype(np.uint64))
-    return {"row": row, "first": first - (ends - counts)[row], "runs": runs, "anchor": halves[place[at]], "context": context}
+    first, runs = starts[at], np.diff(np.append(at, len(starts)))
+    view = np.lib.stride_tricks.sliding_window_view(seeds, width)
+    place = first + np.concatenate([np.argmin(view[first[s : s + 100_000]], axis=1) for s in range(0, len(first), 100_000)])
+    stretches = [seeds[place]]
+    for longer in levels[1:-1]:
+        # windows from ``turn`` on have room to the right of the stretch, those before it to the left
+        turn = np.clip(place + longer - window, first, first + runs)
+        left, right = np.flatnonzero(turn > first), np.flatnonzero(turn < first + runs)
+        place = np.concatenate([place[left] + size - longer, place[right]])
+        runs = np.concatenate([(turn - first)[left], (first + runs - turn)[right]])
+        first = np.concatenate([first[left], turn[right]])
+        stretches = [np.concatenate([found[left], found[right]]) for found in stretches]
+        stretches.append(rolling.at(place, longer))
+        size = longer
+    row = doc[first]
+    # where in the run the stretch stands is part of the context, so equal contexts have equal runs
+    context = mix(rolling.at(first, runs + window - 1) + (place - first + window).astype(np.uint64) * np.uint64(1_000_003) + runs.astype(np.uint64))
+    return {"row": row, "first": first - (ends - counts)[row], "runs": runs, "stretches": stretches, "context": context}
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _level(candidates: DataFrame, stretch: str) -> DataFrame:
+    """The candidates whose stretch is in two documents or more."""
+    shared = candidates.groupBy(stretch).agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest")
+    return candidates.join(shared.select(stretch), stretch)
+
+
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """Runs of repeated windows: doc_id, text_hash, first, runs. ``docs`` has doc_id, text, text_hash."""
+    levels = [f"stretch_{length}" for length in lengths(window)[:-1]]
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in _slices(batch, "text"):
-                found = anchors(cut.column("text").to_pylist(), window)
+                found = runs_of_windows(cut.column("text").to_pylist(), window)
                 rows = pa.array(found["row"])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -146,31 +193,35 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                         cut.column("text_hash").take(rows),
                         pa.array(found["first"].astype(np.int32)),
                         pa.array(found["runs"].astype(np.int16)),
-                        _signed(found["anchor"]),
+                        *map(_signed, found["stretches"]),
                         _signed(found["context"]),
                     ],
-                    ["doc_id", "text_hash", "first", "runs", "anchor", "context"],
+                    ["doc_id", "text_hash", "first", "runs", *levels, "context"],
                 )
 
-    found = docs.mapInArrow(occurrences, "doc_id long, text_hash long, first int, runs short, anchor long, context long")
+    keys = "".join(f", {level} long" for level in levels)
+    found = docs.mapInArrow(occurrences, f"doc_id long, text_hash long, first int, runs short{keys}, context long")
     # said beforehand, as the joins below would say it of some of the uses only and set them apart
-    found = found.where("anchor IS NOT NULL AND context IS NOT NULL")
-    variants = found.groupBy("anchor", "context").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"))
+    found = found.where(" AND ".join(f"{key} IS NOT NULL" for key in [*levels, "context"]))
+    for level in levels[:-1]:
+        found = saved(_level(found, level).drop(level))
+    anchor = levels[-1]
+    variants = found.groupBy(anchor, "context").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"))
     shared = (
-        variants.groupBy("anchor")
+        variants.groupBy(anchor)
         .agg(F.min("lowest").alias("first_doc"), F.max("lowest").alias("last_new"), F.max("highest").alias("last_doc"))
         .where("first_doc < last_doc")
-        .select("anchor", "first_doc", "last_new")
+        .select(anchor, "first_doc", "last_new")
     )
-    variants = variants.join(shared, "anchor").select("anchor", "context", "lowest", "highest", (F.col("first_doc") < F.col("last_new")).alias("open"))
+    variants = variants.join(shared, anchor).select(anchor, "context", "lowest", "highest", (F.col("first_doc") < F.col("last_new")).alias("open"))
     # an occurrence is settled if its context is in an earlier document; the first of a context
-    # is looked at window by window if its anchor begins contexts in more than one document.
+    # is looked at window by window if its stretch begins contexts in more than one document.
     # (no id is above the highest; naming it gives both uses of the table the same columns,
     # so Spark computes and shuffles it once)
     return saved(
-        found.join(variants, ["anchor", "context"])
+        found.join(variants, [anchor, "context"])
         .where(((F.col("doc_id") > F.col("lowest")) | F.col("open")) & (F.col("doc_id") <= F.col("highest")))
-        .select("doc_id", "text_hash", "first", "runs", "anchor", (F.col("doc_id") > F.col("lowest")).alias("settled"))
+        .select("doc_id", "text_hash", "first", "runs", F.col(anchor).alias("anchor"), (F.col("doc_id") > F.col("lowest")).alias("settled"))
     )
 
 

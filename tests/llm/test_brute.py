@@ -437,3 +437,21 @@ def test_query_equals_sql(spark, name):
     assert columns == sorted(wanted.columns)
     got = sorted(tuple(str(r[c]) for c in columns) for r in frame.collect())
     assert got == sorted(tuple(map(str, r)) for r in wanted.select(*[f'"{c}"' for c in columns]).fetchall())
+
+
+@pytest.mark.parametrize("window", [4, 6, 10, 50, 100])
+def test_runs_hold_every_window_and_equal_windows_have_equal_stretches(window):
+    r = random.Random(window)
+    texts = [" ".join(r.choice("abc") for _ in range(r.randrange(0, 3 * window))) for _ in range(60)] + ["", "a", " ".join("a" * 5 * window)]
+    levels = substring_dedup.lengths(window)
+    assert levels[-1] == window and all(short < long <= 2 * short for short, long in zip(levels, levels[1:], strict=False))
+    found = substring_dedup.runs_of_windows(texts, window)
+    seen, places = {}, []
+    for k in range(len(found["row"])):
+        words_of = texts[found["row"][k]].split()
+        for first in range(found["first"][k], found["first"][k] + found["runs"][k]):
+            stretches = tuple(int(level[k]) for level in found["stretches"])
+            assert len(stretches) == len(levels) - 1
+            assert seen.setdefault(tuple(words_of[first : first + window]), stretches) == stretches
+            places.append((found["row"][k], first))
+    assert sorted(places) == [(i, s) for i, t in enumerate(texts) for s in range(len(t.split()) - window + 1)]
