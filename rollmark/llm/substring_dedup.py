@@ -16,9 +16,9 @@ at one length alone is extended to twice that length, and goes on only if it is
    passages; their windows are compared one by one. No candidates are left after that, as
    any longer repeat is a chain of repeated windows.
 
-Hashes of all lengths come from one prefix sum, so no level reads a text again; each level
-is a stored table of the survivors, found by a map-side aggregate and a join on hash keys,
-whose hot keys are split by the adaptive skew join. Hashes are 64 bits, and a window must
+Hashes of all lengths come from one prefix sum, so one pass over the texts serves all levels
+but the windows at edges; each level is a stored table of the survivors, found by a map-side
+aggregate and a join on hash keys, which leaves the rows of hot keys where they are. Hashes are 64 bits, and a window must
 agree in the stretches of all levels and in its own.
 """
 
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_CLASS, claim, documents, narrow, parts, saved, ship, text_or_empty
+from ._common import WORD_CLASS, claim, documents, narrow, parts, saved, ship, skew_join, stored, text_or_empty
 
 WORD = re.compile(WORD_CLASS)
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -173,9 +173,10 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _level(candidates: DataFrame, stretch: str) -> DataFrame:
-    """The candidates whose stretch is in two documents or more."""
-    shared = candidates.groupBy(stretch).agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest")
-    return candidates.join(shared.select(stretch), stretch)
+    """The candidates whose stretch is in two documents or more, without it. Those of hot stretches stay where they are."""
+    shared = candidates.groupBy(stretch).agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"), F.count(F.lit(1)).alias("n"))
+    shared = stored(shared.where("lowest < highest").select(stretch, "n"))
+    return stored(skew_join(candidates, shared, [stretch], candidates.count()).drop(stretch, "n"))
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -202,9 +203,9 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     keys = "".join(f", {level} long" for level in levels)
     found = docs.mapInArrow(occurrences, f"doc_id long, text_hash long, first int, runs short{keys}, context long")
     # said beforehand, as the joins below would say it of some of the uses only and set them apart
-    found = found.where(" AND ".join(f"{key} IS NOT NULL" for key in [*levels, "context"]))
+    found = stored(found.where(" AND ".join(f"{key} IS NOT NULL" for key in [*levels, "context"])))
     for level in levels[:-1]:
-        found = saved(_level(found, level).drop(level))
+        found = _level(found, level)
     anchor = levels[-1]
     variants = found.groupBy(anchor, "context").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"))
     shared = (
