@@ -45,6 +45,17 @@ def skew_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int | N
     return rows.join(F.broadcast(table.join(heavy, keys, "left_semi")), keys).unionByName(others)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stored`` has written and that nothing reads any more."""
+    spark = table.sparkSession
+    own = table_dir(spark).rpartition("/")[2]
+    for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        if f"/{own}/" not in folder:
+            raise ValueError(f"not a stored table: {folder}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_CLASS, claim, documents, narrow, parts, saved, ship, skew_join, stored, text_or_empty
+from ._common import WORD_CLASS, claim, discard, documents, narrow, parts, saved, ship, skew_join, stored, text_or_empty
 
 WORD = re.compile(WORD_CLASS)
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -173,10 +173,14 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _level(candidates: DataFrame, stretch: str) -> DataFrame:
-    """The candidates whose stretch is in two documents or more, without it. Those of hot stretches stay where they are."""
+    """The candidates (a stored table, deleted here) whose stretch is in two documents or more, without it. Those of
+    hot stretches stay where they are."""
     shared = candidates.groupBy(stretch).agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"), F.count(F.lit(1)).alias("n"))
     shared = stored(shared.where("lowest < highest").select(stretch, "n"))
-    return stored(skew_join(candidates, shared, [stretch], candidates.count()).drop(stretch, "n"))
+    survivors = stored(skew_join(candidates, shared, [stretch], candidates.count()).drop(stretch, "n"))
+    discard(candidates)
+    discard(shared)
+    return survivors
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
