@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotate, artifacts, batching, evaluate, hierarchy, prompts, reconcile, synth, thresholds
 from ..plans import pipelines
-from .base import DESIGNATORS, ENTITIES, Tables, joined
+from .base import DESIGNATORS, DIMS, ENTITIES, Tables, joined
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -323,12 +323,76 @@ def synthetic_records(t):
     return pipelines.synthetic_roster(t.spark, t.dims(), terms, 2000, 200)["records"]
 
 
-@query()
+def _unit(purpose: str, *keys: str) -> str:
+    """SQL of a reproducible number in [0, 1) for each key, as the generators draw it with seed 42."""
+    key = " || ':' || ".join([f"'42:{purpose}'", *(f"CAST({k} AS VARCHAR)" for k in keys)])
+    return f"(CAST('0x' || substring(md5({key}), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
+
+
+def _pick(draw: str, options: str) -> str:
+    """SQL of one element of a list, each as likely."""
+    return f"({options})[least(CAST(floor({draw} * len({options})) AS BIGINT) + 1, len({options}))]"
+
+
+def _weighted(draw: str, options) -> str:
+    """SQL of the option whose cumulative weight reaches the draw."""
+    out, at = [], 0.0
+    for value, weight in options:
+        at += weight
+        out.append(f"WHEN {draw} < CAST({at!r} AS DOUBLE) THEN {value!r}")
+    return f"CASE {' '.join(out)} ELSE {options[-1][0]!r} END"
+
+
+def _move(k: int) -> str:
+    """SQL of the k-th state of the entities that have one, level by level, from the state before."""
+    move = _unit("move", "m.soldier_id", str(k), "o.level")
+    return f"""m{k} AS (
+  SELECT soldier_id, n_states, transfer, old_branch,
+         CASE WHEN transfer = 'cross_branch' AND len(others) > 0 THEN {_pick(_unit("cross", "soldier_id", str(k)), "others")} ELSE old_branch END AS branch
+  FROM (SELECT DISTINCT soldier_id, n_states, branch AS old_branch, list_filter(names, lambda x: x <> branch) AS others, {_weighted(_unit("scope", "soldier_id", str(k)), synth.TRANSFERS)} AS transfer
+        FROM s{k - 1}, organisation WHERE n_states >= {k})
+), o{k} AS (
+  SELECT m.*, o.level, o.nth, o.depth, o.options, b.value AS before, list_filter(o.options, lambda x: x <> coalesce(b.value, '')) AS other, {move} AS draw,
+         CASE WHEN m.branch <> m.old_branch THEN 0 WHEN transfer = 'within_level3' AND o.depth > 3 THEN 3 WHEN transfer IN ('within_level3', 'within_level2') THEN 2 ELSE 1 END AS keep
+  FROM m{k} m JOIN levels o ON o.branch = m.branch LEFT JOIN (SELECT soldier_id, level, value FROM s{k - 1}) b ON b.soldier_id = m.soldier_id AND b.level = o.level
+), s{k} AS (
+  SELECT soldier_id, n_states, {k} AS state_order, transfer, branch, level, nth,
+         CASE WHEN nth < keep THEN before WHEN len(other) > 0 THEN {_pick("draw", "other")} ELSE {_pick("draw", "options")} END AS value FROM o{k}
+)"""
+
+
+STATES = f"""{DIMS}, levels AS (
+  SELECT branch, level, row_number() OVER (PARTITION BY branch ORDER BY min(level_idx)) - 1 AS nth, count(*) OVER (PARTITION BY branch) AS depth, list_sort(list(DISTINCT value)) AS options
+  FROM dims GROUP BY branch, level
+), organisation AS (SELECT list_sort(list(DISTINCT branch)) AS names FROM dims), people AS (
+  SELECT 'S' || lpad(CAST(id AS VARCHAR), 6, '0') AS soldier_id, {_weighted(_unit("states", "id"), synth.STATE_COUNTS)} AS n_states FROM range(2000) r(id)
+), posted AS (SELECT soldier_id, n_states, {_pick(_unit("branch", "soldier_id"), "names")} AS branch FROM people, organisation
+), s1 AS (
+  SELECT soldier_id, n_states, 1 AS state_order, CAST(NULL AS VARCHAR) AS transfer, branch, level, nth, {_pick(_unit("post", "soldier_id", "0", "level"), "options")} AS value
+  FROM posted JOIN levels USING (branch)
+), {_move(2)}, {_move(3)}, states AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)"""
+
+
+@query(f"""WITH {STATES} SELECT soldier_id || '-' || state_order AS state_id, soldier_id, CAST(state_order AS INTEGER) AS state_order, transfer, branch,
+array_to_string(list(coalesce(value, '') ORDER BY nth), '/') AS post_path FROM states GROUP BY soldier_id, state_order, transfer, branch""")
 def synthetic_states(t):
     return synth.states(synth.soldiers(t.spark, 2000), t.dims()).select("state_id", "soldier_id", "state_order", "transfer", "branch", "post_path")
 
 
-@query()
+SITUATIONS = "['march', 'camp', 'siege', 'parade']"
+
+
+@query(f"""WITH RECURSIVE drawn AS (
+  SELECT c_mktsegment AS g, c_custkey AS id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn, {_unit("reuse", "c_custkey")} AS reuse, {_unit("which", "c_custkey")} AS which FROM customer
+), ready AS (SELECT *, {_pick("which", SITUATIONS)} AS fresh FROM drawn), walk AS (
+  SELECT g, id, rn, fresh AS situation, [fresh] AS used, [1] AS times FROM ready WHERE rn = 1
+  UNION ALL SELECT g, id, rn, chosen, CASE WHEN list_contains(used, chosen) THEN used ELSE list_append(used, chosen) END,
+    CASE WHEN list_contains(used, chosen) THEN list_transform(times, lambda n, i: CASE WHEN used[i] = chosen THEN n + 1 ELSE n END) ELSE list_append(times, 1) END
+  FROM (
+    SELECT g, id, rn, used, times, CASE WHEN reuse < 0.7 THEN used[CASE WHEN which * (a + b + c + d) <= a THEN 1 WHEN which * (a + b + c + d) <= a + b THEN 2 WHEN which * (a + b + c + d) <= a + b + c THEN 3 ELSE len(used) END] ELSE fresh END AS chosen
+    FROM (SELECT r.*, used, times, sqrt(times[1]) AS a, coalesce(sqrt(times[2]), 0) AS b, coalesce(sqrt(times[3]), 0) AS c, coalesce(sqrt(times[4]), 0) AS d FROM walk w JOIN ready r ON r.g = w.g AND r.rn = w.rn + 1)
+  )
+) SELECT g AS c_mktsegment, id AS c_custkey, situation FROM walk""")
 def sequential_situations(t):
     return synth.sequential_situations(t.customer.select("c_mktsegment", "c_custkey"), ["march", "camp", "siege", "parade"], "c_mktsegment", "c_custkey")
 
@@ -342,7 +406,13 @@ def resolved_vocabulary(t):
     return synth.resolve_terms(vocabulary, patterns).withColumn("terms", joined("terms"))
 
 
-@query()
+def _chance(name: str) -> str:
+    return f"least(1, greatest(0, {name} + (2 * {_unit(name, 'id')} - 1) * CAST(0.1 AS DOUBLE))) AS {name}"
+
+
+@query(f"""WITH kinds(archetype, omits, mistypes, abbreviates) AS (VALUES {", ".join(f"('{k}', " + ", ".join(f"CAST({x} AS DOUBLE)" for x in v) + ")" for k, v in sorted(synth.ARCHETYPES.items()))}),
+drawn AS (SELECT id, {_pick(_unit("archetype", "id"), str(sorted(synth.ARCHETYPES)))} AS archetype FROM range(500) r(id))
+SELECT 'K' || lpad(CAST(id AS VARCHAR), 4, '0') AS clerk_id, archetype, {", ".join(map(_chance, ("omits", "mistypes", "abbreviates")))} FROM drawn JOIN kinds USING (archetype)""")
 def synthetic_clerks(t):
     return synth.clerks(t.spark, 500)
 
