@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import annotate, artifacts, batching, evaluate, hierarchy, prompts, reconcile, synth, thresholds
 from ..plans import pipelines
 from .base import DESIGNATORS, DIMS, ENTITIES, Tables, joined
+from .entities import NEXT_FIT
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -284,12 +285,34 @@ def _batches(t: Tables):
     return grouped.withColumn("prompt", prompts.consolidation_prompt(F.col("component_hint"), F.lit("a / b"), patterns, none, none, F.col("entities")))
 
 
-@query()
+PROMPTS = NEXT_FIT.format(
+    group="hint", id="id", size="count(*)", order="id", limit="30", most="5",
+    source="SELECT conv_id AS id, CASE WHEN conv_id % 3 > 0 THEN 'c' || (conv_id % 3) ELSE 'unknown' END AS hint FROM conversations",
+) + r""", placed AS (
+  SELECT id, g AS component_hint, g || '_batch_' || lpad(CAST(batch AS VARCHAR), CAST(greatest(3, length(CAST(batch AS VARCHAR))) AS INTEGER), '0') AS batch_id FROM walk
+), entity AS (
+  SELECT batch_id, component_hint, CAST(id AS VARCHAR) AS id, (list('  - ' || text ORDER BY turn, text))[1:5] AS texts FROM conversations JOIN placed ON conv_id = id GROUP BY batch_id, component_hint, id
+), prompts AS (
+  SELECT batch_id, component_hint, concat_ws(chr(10) || chr(10), 'Assign ' || count(*) || ' entities to units of ' || component_hint || ' from their records.',
+         'STRUCTURE:' || chr(10) || 'a / b', 'PATTERNS:' || chr(10) || '  - ''x'' [tentative]: y',
+         'RECORDS:' || chr(10) || string_agg('[' || id || ']' || chr(10) || array_to_string(texts, chr(10)), chr(10) ORDER BY id),
+         'Answer with JSON: {"assignments": [{"soldier_id", "levels", "confidence": "robust|strong|moderate|tentative", "reasoning"}]}') AS prompt
+  FROM entity GROUP BY batch_id, component_hint
+)"""
+
+
+@query(PROMPTS + " SELECT batch_id, component_hint, prompt FROM prompts")
 def prompt_text(t):
     return _batches(t).select("batch_id", "component_hint", "prompt")
 
 
-@query()
+@query(PROMPTS + r""", blocks AS (
+  SELECT batch_id, component_hint, regexp_extract_all(prompt, '(?m)^\[([^\n]+?)\]\n((?:  - [^\n]*\n?)+)', 1) AS ids, regexp_extract_all(prompt, '(?m)^\[([^\n]+?)\]\n((?:  - [^\n]*\n?)+)', 2) AS lines FROM prompts
+), answers AS (
+  SELECT batch_id, list_transform(list_zip(ids, list_transform(lines, lambda x: regexp_extract(x, '\p{Nd}+'))),
+         lambda x: '{"soldier_id": "' || x[1] || '", "regiment": ' || CASE WHEN x[2] = '' THEN 'null, "confidence": "tentative"}' ELSE '"' || x[2] || '", "confidence": "moderate"}' END) AS found FROM blocks
+) SELECT batch_id, component_hint, CASE WHEN component_hint = 'c1' THEN '{"assignments": [' || array_to_string(found, ', ') || ']}' END AS answer, CAST(NULL AS VARCHAR) AS error,
+CASE component_hint WHEN 'unknown' THEN 'no_hint' WHEN 'c1' THEN NULL ELSE 'no_resolver' END AS fallback FROM blocks JOIN answers USING (batch_id)""")
 def annotate_mock(t):
     known = t.spark.createDataFrame([("c1",)], "component_hint string")
     return annotate.consolidate(_batches(t), annotate.mock_annotator, known).select("batch_id", "component_hint", "answer", "error", "fallback")
