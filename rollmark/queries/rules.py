@@ -330,7 +330,21 @@ def generated_artifacts(t):
     return pipelines.generate_artifacts(t.spark, validation, raw, structure, t.component_designators(), rules, samples=5)
 
 
-@query()
+@query(f"""WITH {ENTITIES}, s AS (
+  SELECT branch, soldier_id, count(*) OVER (PARTITION BY branch) AS n, row_number() OVER (PARTITION BY branch ORDER BY md5('42:' || soldier_id), soldier_id) AS nth FROM entities
+), test AS (SELECT soldier_id, branch FROM s WHERE nth <= CASE WHEN n < 2 THEN 0 ELSE greatest(1, least(round_even(round(n * (1 - 0.7), 9), 0), n - 1)) END
+), texts AS (SELECT o_custkey AS soldier_id, list_sort(list(concat_ws(' ', o_orderpriority, o_orderstatus))) AS found FROM orders GROUP BY o_custkey
+), predicted AS (
+  SELECT branch, regexp_extract(array_to_string(found[1:5], ' '), '[0-9]+') AS regiment FROM test JOIN texts USING (soldier_id)
+), judged AS (SELECT branch, CASE WHEN regiment = '' THEN 'tentative' ELSE 'moderate' END AS confidence, regiment = '1' AS correct FROM predicted
+), counted AS (
+  SELECT CASE GROUPING(branch, confidence) WHEN 3 THEN 'overall' WHEN 1 THEN 'component' ELSE 'confidence' END AS scope, CASE GROUPING(branch, confidence) WHEN 3 THEN 'all' WHEN 1 THEN branch ELSE confidence END AS name,
+         CAST(count(*) AS BIGINT) AS n_predictions, CAST(count(*) FILTER (correct) AS BIGINT) AS regiment_correct
+  FROM judged GROUP BY GROUPING SETS ((), (branch), (confidence))
+), totals AS (
+  SELECT 'component' AS scope, branch AS name, CAST(count(DISTINCT soldier_id) AS BIGINT) AS total_entities FROM entities GROUP BY branch UNION ALL SELECT 'overall', 'all', CAST(count(DISTINCT soldier_id) AS BIGINT) FROM entities
+) SELECT scope, name, n_predictions, CAST(0 AS BIGINT) AS n_errors, regiment_correct, total_entities, round(CAST(regiment_correct AS DOUBLE) / n_predictions, 6) AS regiment_accuracy, CAST(0 AS DOUBLE) AS error_rate,
+round(coalesce(CAST(n_predictions AS DOUBLE) / total_entities, 0), 6) AS coverage FROM counted LEFT JOIN totals USING (scope, name)""")
 def strategy_evaluation(t):
     records = t.orders.select(F.col("o_custkey").alias("soldier_id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("raw_text"))
     entities = t.entities()
