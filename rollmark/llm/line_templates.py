@@ -31,13 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_CLASS, documents, heavy_keys, narrow, saved, skew_join
+from ._common import WORD_CLASS, discard, documents, heavy_keys, narrow, saved, skew_join, stored
 from .substring_dedup import _signed, _slices
 
 WORD = re.compile(WORD_CLASS)
 VARIABLE = re.compile(r"[0-9@]|://")
 FIELD = "<*>"
 DEPTH, SIMILARITY, MIN_DOCS = 3, 0.5, 5
+#: Most tokens of the forms of a leaf that one worker searches.
+LEAF_TOKENS = 1 << 18
+FORMS = "leaf long, variant long, docs long, ids array<long>, tokens array<long>"
 #: Null ids take part under this one.
 _NO_ID = -(2**63)
 
@@ -82,86 +85,150 @@ def _lines(source: DataFrame, depth: int) -> DataFrame:
     return source.mapInArrow(run, "key_id long, text_hash long, line int, leaf long, variant long")
 
 
-def _tokens(source: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
-    """leaf, variant, docs, place, token for each token of the wanted lines after the leading ones, and the number of these."""
+def _forms(source: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
+    """leaf, variant, docs and ids of the wanted lines, and the hashes of their tokens after the leading ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in _slices(batch, "text"):
-                leaves, variants, docs, places, hashes, sizes = [], [], [], [], [], []
+                rows, hashes, sizes = [], [], []
                 for text, found in zip(cut.column("text").to_pylist(), cut.column("found").to_pylist(), strict=True):
                     lines = text.split("\n")
                     for f in found:
                         tokens = masked(lines[f["line"]])[depth:]
-                        n = len(tokens)
-                        leaves.append(np.full(n, f["leaf"], dtype=np.int64))
-                        variants.append(np.full(n, f["variant"], dtype=np.int64))
-                        docs.append(np.full(n, f["docs"], dtype=np.int64))
-                        places.append(np.arange(n, dtype=np.int32))
-                        hashes.append(np.fromiter(map(_hash, tokens), dtype=np.uint64, count=n))
-                        sizes.append(np.full(n, n, dtype=np.int32))
-                if leaves:
-                    arrays = [pa.array(np.concatenate(x)) for x in (leaves, variants, docs, places)]
-                    arrays += [_signed(np.concatenate(hashes)), pa.array(np.concatenate(sizes))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["leaf", "variant", "docs", "place", "token", "size"])
-
-    grouped = wanted.groupBy("key_id", "text_hash").agg(F.collect_list(F.struct("line", "leaf", "variant", "docs")).alias("found"))
-    return (
-        source.join(grouped, ["key_id", "text_hash"])
-        .select("doc_id", "key_id", "text_hash", "text", "found")
-        .mapInArrow(run, "leaf long, variant long, docs long, place int, token long, size int")
-    )
+                        rows.append(f)
+                        hashes.extend(map(_hash, tokens))
+                        sizes.append(len(tokens))
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                arrays = [pa.array([f[x] for f in rows], pa.int64()) for x in ("leaf", "variant", "docs")]
+                arrays += [pa.array([f["ids"] for f in rows], pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, _signed(np.array(hashes, dtype=np.uint64)))]
+                yield pa.RecordBatch.from_arrays(arrays, ["leaf", "variant", "docs", "ids", "tokens"])
+
+    grouped = wanted.groupBy("key_id", "text_hash").agg(F.collect_list(F.struct("line", "leaf", "variant", "docs", "ids")).alias("found"))
+    return source.join(grouped, ["key_id", "text_hash"]).select("text", "found").mapInArrow(run, FORMS)
+
+
+def leaf_members(tokens: np.ndarray, docs: np.ndarray, ids: list, similarity: float, min_docs: int) -> list[int]:
+    """The rows of ``tokens`` (a form each, of one leaf) that belong to a recurring template. ``ids`` has the
+    documents of the forms that are in fewer than ``min_docs``."""
+    size, found = tokens.shape[1], []
+    places = np.unique(tokens, return_inverse=True)[1].reshape(tokens.shape) * size + np.arange(size)
+    rest = np.arange(len(tokens))
+    while True:
+        parts, hits = [(rest, 0)], []
+        while parts:
+            part, chosen = parts.pop()
+            pairs = docs[part].sum()
+            if len(part) < 2 or pairs < min_docs:
+                continue
+            own = places[part]
+            keys, at = np.unique(own, return_inverse=True)
+            at = at.reshape(own.shape)
+            support = np.bincount(at.ravel(), np.repeat(docs[part], size))
+            support[support < 2] = 0
+            same = (2 * support > pairs)[at].sum(axis=1)
+            members = part[(same >= size * similarity) & (same > chosen)]
+            if docs[members].sum() >= min_docs and (
+                docs[members].max() >= min_docs or len({x for m in members for x in ids[m]}) >= min_docs
+            ):
+                hits.extend(members.tolist())
+                continue
+            minor = (2 * support <= pairs) & (support >= min_docs)
+            if not minor.any():
+                continue
+            # the most supported token, at the first of its places
+            most = support[minor].max()
+            place = (keys[minor & (support == most)] % size).min()
+            side = np.where(minor[at[:, place]], at[:, place], -1)
+            parts += [(part[side == x], chosen + (x >= 0)) for x in np.unique(side)]
+        if not hits:
+            return found
+        found += hits
+        rest = np.setdiff1d(rest, hits)
+
+
+def _small(forms: DataFrame, similarity: float, min_docs: int) -> DataFrame:
+    """leaf and variant of the lines of recurring templates, each leaf by itself in a worker."""
 
+    def solved(leaf: int, variants: list, docs: list, ids: list, tokens: list) -> pa.RecordBatch:
+        rows = leaf_members(np.array(tokens), np.array(docs), ids, similarity, min_docs)
+        return pa.RecordBatch.from_arrays([pa.array([leaf] * len(rows), pa.int64()), pa.array([variants[k] for k in rows], pa.int64())], ["leaf", "variant"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, held = None, ([], [], [], [])
+        for batch in batches:
+            for row in zip(*(batch.column(x).to_pylist() for x in ("leaf", "variant", "docs", "ids", "tokens")), strict=True):
+                if row[0] != leaf:
+                    if leaf is not None:
+                        yield solved(leaf, *held)
+                    leaf, held = row[0], ([], [], [], [])
+                for column, value in zip(held, row[1:], strict=True):
+                    column.append(value)
+        if leaf is not None:
+            yield solved(leaf, *held)
+
+    return forms.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "leaf long, variant long")
 
-def _members(tokens: DataFrame, held: DataFrame, heavy: DataFrame, similarity: float, min_docs: int) -> list[DataFrame]:
-    """leaf and variant of the lines of recurring templates, for leaves of several forms.
 
-    ``tokens`` is what ``_tokens`` gives, ``held`` has leaf, variant and key_id of these leaves, ``heavy`` the
-    forms with a large share of its rows. A pass
-    looks for one template in each part of a leaf and splits the parts without one; the next takes
-    the leaves in which some were found again, without the lines found."""
+def _large(forms: DataFrame, similarity: float, min_docs: int) -> list[DataFrame]:
+    """Like ``_small``, for leaves that are too large for one worker: all parts of all leaves a level at a time.
+
+    A pass looks for one template in each part of a leaf and splits the parts without one; the next takes
+    the leaves in which some were found again, without the lines found. Tables are stored, not only cut from their lineage:
+    a checkpoint keeps the estimated size of its plan, and over many levels the driver would hold numbers of millions of digits."""
     group = ["leaf", "part"]
     found = []
-    start = tokens.withColumns({"part": F.lit(0).cast("long"), "chosen": F.lit(0)})
+    places = F.posexplode("tokens").alias("place", "token")
+    start = stored(forms.select("leaf", "variant", "docs", F.size("tokens").alias("size"), places, F.lit(0).cast("long").alias("part"), F.lit(0).alias("chosen")))
+    held = forms.select("leaf", "variant", "ids")
     while True:
         level, hits = start, []
         while True:
             groups = level.where("place = 0").groupBy(*group).agg(F.sum("docs").alias("pairs"), F.count(F.lit(1)).alias("forms"))
             groups = groups.where((F.col("forms") > 1) & (F.col("pairs") >= min_docs)).select(*group, "pairs")
-            support = saved(level.groupBy(*group, "place", "token").agg(F.sum("docs").alias("support")).where(F.col("support") > 1).join(groups, group))
+            support = stored(level.groupBy(*group, "place", "token").agg(F.sum("docs").alias("support")).where(F.col("support") > 1).join(groups, group))
             fixed = support.where("2 * support > pairs").select(*group, "place", "token")
             alike = level.join(fixed, [*group, "place", "token"]).groupBy(*group, "variant").agg(
                 F.count(F.lit(1)).alias("same"), F.max("size").alias("size"), F.max("chosen").alias("chosen"), F.max("docs").alias("docs")
             )
             members = alike.where((F.col("same") >= F.col("size") * F.lit(similarity)) & (F.col("same") > F.col("chosen")))
-            members = saved(members.select(*group, "variant", "docs"))
-            enough = members.groupBy(*group).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select(*group)
-            candidates = members.join(enough, group).select(*group, "variant")
-            counted = skew_join(held, candidates, ["leaf", "variant"], heavy=heavy).select(*group, "key_id").distinct()
-            recurring = saved(counted.groupBy(*group).agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select(*group))
+            members = stored(members.select(*group, "variant", "docs"))
+            # a form in enough documents is enough; the others have few documents each
+            often = members.where(F.col("docs") >= min_docs).select(*group).distinct()
+            few = members.groupBy(*group).agg(F.sum("docs").alias("pairs"), F.max("docs").alias("most"))
+            few = few.where((F.col("pairs") >= min_docs) & (F.col("most") < min_docs)).select(*group)
+            counted = members.join(few, group).join(held, ["leaf", "variant"]).select(*group, F.explode("ids").alias("key_id")).distinct()
+            counted = counted.groupBy(*group).agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select(*group)
+            recurring = stored(often.unionByName(counted))
             if recurring.limit(1).count():
-                hits.append(saved(members.join(recurring, group).select("leaf", "variant")))
+                hits.append(stored(members.join(recurring, group).select("leaf", "variant")))
             # the other parts are split at the place of their most supported token
             minor = support.where((2 * F.col("support") <= F.col("pairs")) & (F.col("support") >= min_docs)).join(recurring, group, "left_anti")
-            at = saved(minor.groupBy(*group).agg(F.max_by("place", F.struct(F.col("support"), -F.col("place"))).alias("place")))
-            if not at.limit(1).count():
+            at = stored(minor.groupBy(*group).agg(F.max_by("place", F.struct(F.col("support"), -F.col("place"))).alias("place")))
+            split = at.limit(1).count()
+            if split:
+                marks = minor.join(at, [*group, "place"]).select(*group, "place", "token", F.lit(1).alias("mark"))
+                sides = level.join(at, [*group, "place"]).join(marks, [*group, "place", "token"], "left")
+                sides = sides.select(
+                    *group, "variant", F.xxhash64("part", "place", F.when(F.col("mark") == 1, F.col("token"))).alias("side"), F.coalesce("mark", F.lit(0)).alias("mark")
+                )
+                columns = ["leaf", "variant", "docs", "size", "place", "token", F.col("side").alias("part"), (F.col("chosen") + F.col("mark")).alias("chosen")]
+                after = stored(level.join(sides, [*group, "variant"]).select(*columns))
+            for table in (support, members, recurring, at, *([level] if level is not start else [])):
+                discard(table)
+            if not split:
                 break
-            marks = minor.join(at, [*group, "place"]).select(*group, "place", "token", F.lit(1).alias("mark"))
-            sides = level.join(at, [*group, "place"]).join(marks, [*group, "place", "token"], "left")
-            sides = sides.select(
-                *group, "variant", F.xxhash64("part", "place", F.when(F.col("mark") == 1, F.col("token"))).alias("side"), F.coalesce("mark", F.lit(0)).alias("mark")
-            )
-            level = saved(
-                level.join(sides, [*group, "variant"]).select("leaf", "variant", "docs", "place", "token", "size", F.col("side").alias("part"), (F.col("chosen") + F.col("mark")).alias("chosen"))
-            )
+            level = after
         if not hits:
+            discard(start)
             return found
         found += hits
         gone = hits[0]
         for more in hits[1:]:
             gone = gone.unionByName(more)
-        rest = start.join(gone.select("leaf").distinct(), "leaf", "left_semi").join(gone, ["leaf", "variant"], "left_anti")
-        start = saved(rest)
+        rest = stored(start.join(gone.select("leaf").distinct(), "leaf", "left_semi").join(gone, ["leaf", "variant"], "left_anti"))
+        discard(start)
+        start = rest
 
 
 def line_dedup(
@@ -171,6 +238,7 @@ def line_dedup(
     depth: int = DEPTH,
     similarity: float = SIMILARITY,
     min_docs: int = MIN_DOCS,
+    leaf_tokens: int = LEAF_TOKENS,
 ) -> DataFrame:
     r"""One row per input row: doc_id, n_lines (with a token), n_dropped, kept_text.
 
@@ -178,7 +246,8 @@ def line_dedup(
     order, blank ones included. Null texts count as empty and stay so. Rows with a null id are
     cleaned like others and count as one document together (with rows of the id -2^63, if any); rows repeated with one id count
     as one document. Repeats within one document make no template recur. An empty table gives an
-    empty result; other columns are ignored.
+    empty result; other columns are ignored. Leaves whose forms have more than ``leaf_tokens`` tokens are
+    searched by joins over all workers, the others in one worker each; which of the two does not change the result.
     """
     source = narrow(docs, id_col, text_col).select(
         "doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("key_id"), F.xxhash64("text").alias("text_hash"), "text"
@@ -192,16 +261,21 @@ def line_dedup(
     form = ["leaf", "variant"]
     heavy = saved(heavy_keys(variants, form, lines.count()))
     leaves = variants.groupBy("leaf").agg(F.sum("docs").alias("pairs"), F.count(F.lit(1)).alias("forms"))
-    mixed = leaves.where((F.col("forms") > 1) & (F.col("pairs") >= min_docs)).select("leaf", "pairs")
-
-    # one line of each form in a mixed leaf gives its tokens
-    places = variants.join(mixed.select("leaf"), "leaf").select("leaf", "variant", "docs", "place.key_id", "place.at.text_hash", "place.at.line")
-    tokens = saved(_tokens(source, places, depth))
-    held = saved(per_doc.join(mixed.select("leaf"), "leaf").select("leaf", "variant", "key_id"))
-    dropped = variants.where(F.col("docs") >= min_docs).select("leaf", "variant")
-    heavy_held = saved(heavy_keys(places.select(*form, F.col("docs").alias("n")), form, held.count()))
-    for members in _members(tokens, held, heavy_held, similarity, min_docs):
-        dropped = dropped.unionByName(members)
+    mixed = leaves.where((F.col("forms") > 1) & (F.col("pairs") >= min_docs)).select("leaf")
+
+    # one line of each form in a mixed leaf gives its tokens; forms in few documents keep their ids
+    places = saved(variants.join(mixed, "leaf").select(*form, "docs", "place.key_id", "place.at.text_hash", "place.at.line"))
+    often = F.broadcast(heavy.join(variants.where(F.col("docs") >= min_docs), form, "left_semi"))
+    rare = lines.join(often, form, "left_anti").join(places.where(F.col("docs") < min_docs).select(*form), form)
+    rare = rare.groupBy(*form).agg(F.collect_set("key_id").alias("ids"))
+    forms = saved(_forms(source, places.join(rare, form, "left"), depth).where(F.size("tokens") > 0))
+    large = stored(forms.groupBy("leaf").agg(F.sum(F.size("tokens")).alias("n")).where(F.col("n") > leaf_tokens).select("leaf"))
+    dropped = variants.where(F.col("docs") >= min_docs).select(*form)
+    if large.limit(1).count():
+        for members in _large(saved(forms.join(large, "leaf", "left_semi")), similarity, min_docs):
+            dropped = dropped.unionByName(members)
+        forms = forms.join(large, "leaf", "left_anti")
+    dropped = dropped.unionByName(_small(forms, similarity, min_docs))
     hits = skew_join(lines, saved(dropped.distinct()), form, heavy=heavy).groupBy("key_id", "text_hash").agg(F.collect_set("line").alias("gone"))
     joined = source.join(hits, ["key_id", "text_hash"], "left").select("doc_id", "text", "gone")
 
