@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-The segmentation of a text is found in one pass from left to right. What is known of a
-boundary (its best score, or its last piece) is kept for a window no longer than the longest
-piece; back pointers are kept only until all paths that are still alive share a boundary, and
-the ids up to it are then committed.
+The segmentation of a text is found in one pass from left to right. At each boundary the pieces
+that end there are read off an automaton over the vocabulary, and the best of the paths they
+extend is kept. What is known of boundaries (best score, or last piece, and back pointers) is kept
+only until all paths that are still alive share one, and the ids up to it are then committed: paths
+that pieces still to come can extend are no longer than the longest piece.
 
 Two kinds of models differ in what makes a path survive at a boundary:
 
@@ -24,7 +25,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,10 @@ UNKNOWN_PENALTY = -10.0
 SHORT = 48
 #: Numbers from here on stand for characters outside the vocabulary.
 UNKNOWN = 1 << 19
+#: Stands for the last piece at a boundary that no path has.
+NOWHERE = 1 << 22
+#: Most pairs of neighbours, and most steps of the automaton, that a worker remembers.
+HELD = 2_000_000
 
 
 class SpanCache(dict):
@@ -61,6 +67,54 @@ class SpanCache(dict):
         return found
 
 
+class Follower(dict):
+    """Of one piece: whether it may follow the piece of a number."""
+
+    __slots__ = ("coder", "piece")
+
+    def __init__(self, coder: PieceCoder, piece: int):
+        self.coder, self.piece = coder, piece
+
+    def __missing__(self, before: int) -> bool:
+        coder = self.coder
+        if coder.n_neighbours >= HELD:
+            for other in coder.followers.values():
+                other.clear()
+            coder.n_neighbours = 0
+        coder.n_neighbours += 1
+        self[before] = found = coder.fits(before, self.piece)
+        return found
+
+
+class Place(dict):
+    """A place of the automaton over the vocabulary: the longest end of a text that begins a piece, the pieces it
+    ends with (size, number, what they may follow), longest first, and the places after one more character."""
+
+    __slots__ = ("coder", "name", "endings", "single")
+
+    def __init__(self, coder: PieceCoder, name: str):
+        self.coder, self.name = coder, name
+        ends = [(len(name) - k, coder.places.get(name[k:], -1)) for k in range(len(name))]
+        self.endings = [(size, p, coder.followers.setdefault(p, Follower(coder, p))) for size, p in ends if p > 0]
+        self.single = bool(self.endings) and self.endings[-1][0] == 1
+
+    def __missing__(self, char: str) -> Place:
+        coder = self.coder
+        name = self.name + char
+        while name and name not in coder.places:
+            name = name[1:]
+        found = coder.known.get(name)
+        if found is None:
+            found = coder.known[name] = Place(coder, name)
+        if coder.n_places >= HELD:
+            for other in coder.known.values():
+                other.clear()
+            coder.n_places = 0
+        coder.n_places += 1
+        self[char] = found
+        return found
+
+
 class PieceCoder:
     """Pieces, scores and byte ids of a SentencePiece model; ``kind`` is "unigram" or "bpe"."""
 
@@ -81,9 +135,14 @@ class PieceCoder:
             for k in range(1, len(piece)):
                 self.places.setdefault(piece[:k], -1)
             self.places[piece] = number
+        self.numbered = [-1, *self.ids.values()]
+        self.sizes = {number: len(piece) for number, piece in enumerate(self.names)}
+        self.followers: dict[int, Follower] = {}
+        self.n_places, self.n_neighbours = 0, 0
+        self.root = Place(self, "")
+        self.known = {"": self.root}
         self.text = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()}
         self.text.update({i: bytes([b]) for b, i in enumerate(byte_ids)})
-        self.neighbours: dict[int, bool] = {}
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.spans = None if crossing else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
@@ -163,83 +222,82 @@ class PieceCoder:
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of ``text`` in committed runs. A mark inside ``text`` stands for a space."""
-        places, longest, unknown, bpe = self.places, self.longest, self.unknown, self.kind == "bpe"
-        neighbours, weights = self.neighbours, self.weights
-        n = len(text)
-        state: dict = {0: 0 if bpe else 0.0}  # of boundaries in the window: last piece by number, or score
-        back: dict[int, int] = {}  # boundary -> the boundary before it, since the last commit
-        committed, far, check = 0, 0, 2 * longest
-        for i in range(n):
-            here = state.pop(i, None)
-            if here is None:
-                continue
-            if i == far and i > committed:  # no living path passes over i
-                yield self._commit(text, back, committed, i)
-                back.clear()
-                committed, check = i, i + 2 * longest
-            elif i >= check:
-                shared = self._shared(back, committed, [*state, i])
-                if shared > committed:
-                    yield self._commit(text, back, committed, shared)
-                    for k in [k for k in back if k <= shared]:
-                        del back[k]
-                    committed = shared
-                check = i + longest
-            end, single = i + 1, False
-            while end <= n:
-                piece = places.get(text[i:end])
-                if piece is None:
+        return self._stream_bpe(text) if self.kind == "bpe" else self._stream_unigram(text)
+
+    def _stream_bpe(self, text: str) -> Iterator[list[int]]:
+        """The one path whose neighbours are compatible; a boundary is known by the last piece before it."""
+        last: list[int] = [0]  # of boundaries from ``first`` on; a piece tells the boundary before it, too
+        first, end, check, place = 0, 0, 2 * self.longest, self.root
+        for char in text:
+            end += 1
+            place = place[char]
+            for size, piece, after in place.endings:  # the pieces that end here, longest first
+                if size <= end and after[last[end - size]]:
+                    last.append(piece)
                     break
-                if piece >= 0:
-                    if end == i + 1:
-                        single = True
-                    if bpe:
-                        if end not in state:
-                            key = here << 21 | piece
-                            fits = neighbours.get(key)
-                            if fits is None:
-                                fits = self._fits(key, here, piece)
-                            if fits:
-                                state[end], back[end] = piece, i
-                                if end > far:
-                                    far = end
-                    else:
-                        total = here + weights[piece]
-                        if end not in state or total > state[end]:
-                            state[end], back[end] = total, i
-                            if end > far:
-                                far = end
-                end += 1
-            if not single:
-                total = UNKNOWN + ord(text[i]) if bpe else here + unknown
-                if i + 1 not in state or (not bpe and total > state[i + 1]):
-                    state[i + 1], back[i + 1] = total, i
-                    if i + 1 > far:
-                        far = i + 1
-        if n > committed:
-            yield self._commit(text, back, committed, n)
+            else:
+                # a boundary that no path has is followed by none
+                last.append(NOWHERE if place.single or last[-1] == NOWHERE else UNKNOWN + ord(char))
+            if end >= check:
+                # pieces that end later begin no earlier than what is known of the trie here
+                alive = [k for k in range(end - min(end, len(place.name)), end + 1) if last[k] != NOWHERE]
+                shared = self._shared(alive, lambda k: k - self.sizes.get(last[k], 1))
+                if shared > 0:
+                    yield self._commit(text[first : first + shared], last)
+                    last = last[shared:]
+                    first, end = first + shared, end - shared
+                check = end + self.longest
+        if end:
+            yield self._commit(text[first:], last)
+
+    def _stream_unigram(self, text: str) -> Iterator[list[int]]:
+        """The path with the highest sum of scores; of equal ones the longest last piece."""
+        best = [0.0]  # sums at the boundaries from ``first`` on, and the last piece before them
+        last: list[int] = [0]
+        first, end, check, place = 0, 0, 2 * self.longest, self.root
+        for char in text:
+            end += 1
+            place = place[char]
+            score = None
+            for size, piece, _ in place.endings:
+                if size <= end and (score is None or best[end - size] + self.weights[piece] > score):
+                    score, found = best[end - size] + self.weights[piece], piece
+            if not place.single and (score is None or best[end - 1] + self.unknown > score):
+                score, found = best[end - 1] + self.unknown, UNKNOWN + ord(char)
+            best.append(score)
+            last.append(found)
+            if end >= check:
+                shared = self._shared(list(range(end - min(end, len(place.name)), end + 1)), lambda k: k - self.sizes.get(last[k], 1))
+                if shared > 0:
+                    yield self._commit(text[first : first + shared], last)
+                    best, last = best[shared:], last[shared:]
+                    first, end = first + shared, end - shared
+                check = end + self.longest
+        if end:
+            yield self._commit(text[first:], last)
 
     @staticmethod
-    def _shared(back: dict[int, int], committed: int, alive: list[int]) -> int:
-        """The last boundary on the paths of all living boundaries."""
-        alive = sorted(set(alive), reverse=True)
+    def _shared(alive: list[int], before: Callable[[int], int]) -> int:
+        """The last boundary on the paths of all living boundaries; 0 is on every path."""
+        alive = sorted(alive, reverse=True)
         while len(alive) > 1:
-            alive[0] = back.get(alive[0], committed)
+            alive[0] = before(alive[0])
             alive = sorted(set(alive), reverse=True)
         return alive[0]
 
-    def _commit(self, text: str, back: dict[int, int], start: int, end: int) -> list[int]:
-        bounds = [end]
-        while bounds[-1] > start:
-            bounds.append(back[bounds[-1]])
-        bounds.reverse()
-        out: list[int] = []
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            piece = self.ids.get(text[a:b])
-            if piece is not None:
-                out.append(piece)
+    def _commit(self, text: str, last: list[int]) -> list[int]:
+        """Ids of ``text``, whose end is the boundary len(text)."""
+        sizes, numbered, out = self.sizes, self.numbered, []
+        at = len(text)
+        while at > 0:
+            piece = last[at]
+            if piece < UNKNOWN:
+                out.append(numbered[piece])
+                at -= sizes[piece]
             else:
-                out.extend(self.byte_ids[x] for x in text[a:b].encode())
+                out.extend(self.byte_ids[x] for x in reversed(text[at - 1].encode()))
+                at -= 1
+        out.reverse()
         return out
 
     def _span(self, span: str) -> bytes:
@@ -248,17 +306,14 @@ class PieceCoder:
             out.extend(run)
         return out.tobytes()
 
-    def _fits(self, key: int, before: int, piece: int) -> bool:
+    def fits(self, before: int, piece: int) -> bool:
         """Whether a piece may follow the one before it (0: begins the span)."""
+        if before == NOWHERE:
+            return False
         text = self.names[piece]
         if before == 0:
-            fits = len(text) == 1 or self.halves(text) is not None
-        else:
-            fits = self.compatible(self.names[before] if before < UNKNOWN else chr(before - UNKNOWN), text)
-        if len(self.neighbours) > 2_000_000:
-            self.neighbours.clear()
-        self.neighbours[key] = fits
-        return fits
+            return len(text) == 1 or self.halves(text) is not None
+        return self.compatible(self.names[before] if before < UNKNOWN else chr(before - UNKNOWN), text)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text. An empty text has none. A literal mark in the text is
@@ -283,9 +338,9 @@ class PieceCoder:
         """Ids of a span. Where no piece holds two neighbouring characters every path has a
         boundary, so the parts on either side are looked up by themselves."""
         pairs = self.pairs
-        cuts = [k for k in range(1, len(span)) if span[k - 1 : k + 1] not in pairs]
-        if not cuts:
+        if pairs.issuperset(map(add, span, span[1:])):
             return self._span(span)
+        cuts = [k for k in range(1, len(span)) if span[k - 1 : k + 1] not in pairs]
         parts = [span[x:y] for x, y in zip([0, *cuts], [*cuts, len(span)], strict=True)]
         return b"".join(map(self.cache.__getitem__, parts))
 

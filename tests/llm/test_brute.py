@@ -76,6 +76,18 @@ def test_real_documents_go_through_the_stream(monkeypatch):
             assert np.frombuffer(ids, np.int32).tolist() == committed[span]
 
 
+def test_forgetting_changes_no_ids(monkeypatch, coder):
+    """What is remembered of neighbours and of steps is dropped in the middle of a text."""
+    import public_tokenizers
+
+    monkeypatch.setattr(pieces, "HELD", 7)
+    tool = pieces.PieceCoder.load(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(4)
+    for text in ["".join(r.choice("abcdeilnorst  .,-#1é日\x01😀▁") for _ in range(r.randrange(300))) for _ in range(100)]:
+        assert tool.encode(text).tolist() == coder.encode(text).tolist()
+        assert tool.decode(tool.encode(text)) == text
+
+
 def unigram(pieces_, seed=0):
     r = random.Random(seed)
     return pieces.PieceCoder({p: (i, -r.randrange(1, 60) / 7) for i, p in enumerate(pieces_)}, list(range(1000, 1256)), "unigram")
