@@ -253,26 +253,26 @@ def line_dedup(
         "doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("key_id"), F.xxhash64("text").alias("text_hash"), "text"
     )
     # the texts are one side of two joins below, with the same columns: Spark shuffles them once
-    lines = saved(_lines(source.select("key_id", "text_hash", "text"), depth))
+    lines = stored(_lines(source.select("key_id", "text_hash", "text"), depth))
     # documents of each form of a line, and its first place
     per_doc = lines.groupBy("leaf", "variant", "key_id").agg(F.min(F.struct("text_hash", "line")).alias("at"), F.count(F.lit(1)).alias("n"))
     counts = [F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.min(F.struct("key_id", "at")).alias("place")]
-    variants = saved(per_doc.groupBy("leaf", "variant").agg(*counts))
+    variants = stored(per_doc.groupBy("leaf", "variant").agg(*counts))
     form = ["leaf", "variant"]
     heavy = saved(heavy_keys(variants, form, lines.count()))
     leaves = variants.groupBy("leaf").agg(F.sum("docs").alias("pairs"), F.count(F.lit(1)).alias("forms"))
     mixed = leaves.where((F.col("forms") > 1) & (F.col("pairs") >= min_docs)).select("leaf")
 
     # one line of each form in a mixed leaf gives its tokens; forms in few documents keep their ids
-    places = saved(variants.join(mixed, "leaf").select(*form, "docs", "place.key_id", "place.at.text_hash", "place.at.line"))
+    places = stored(variants.join(mixed, "leaf").select(*form, "docs", "place.key_id", "place.at.text_hash", "place.at.line"))
     often = F.broadcast(heavy.join(variants.where(F.col("docs") >= min_docs), form, "left_semi"))
     rare = lines.join(often, form, "left_anti").join(places.where(F.col("docs") < min_docs).select(*form), form)
     rare = rare.groupBy(*form).agg(F.collect_set("key_id").alias("ids"))
-    forms = saved(_forms(source, places.join(rare, form, "left"), depth).where(F.size("tokens") > 0))
+    forms = stored(_forms(source, places.join(rare, form, "left"), depth).where(F.size("tokens") > 0))
     large = stored(forms.groupBy("leaf").agg(F.sum(F.size("tokens")).alias("n")).where(F.col("n") > leaf_tokens).select("leaf"))
     dropped = variants.where(F.col("docs") >= min_docs).select(*form)
     if large.limit(1).count():
-        for members in _large(saved(forms.join(large, "leaf", "left_semi")), similarity, min_docs):
+        for members in _large(stored(forms.join(large, "leaf", "left_semi")), similarity, min_docs):
             dropped = dropped.unionByName(members)
         forms = forms.join(large, "leaf", "left_anti")
     dropped = dropped.unionByName(_small(forms, similarity, min_docs))
